@@ -1,10 +1,11 @@
 """The registered queries of the training-data operators, and their DuckDB equivalents."""
 
-from . import mixing, simhash
+from . import mixing, simhash, token_file
 
 QUERIES = {
     "op4_mix_to_weights": mixing.op4_mix_to_weights,
     "op5_simhash_covering": simhash.op5_simhash_covering,
+    "op6_elias_fano": token_file.op6_elias_fano,
 }
 
 ORACLES = {

@@ -19,6 +19,7 @@ columns are ignored.  Texts are processed whole; an empty table gives an empty t
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,31 +178,42 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFr
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of fingerprints
-    that differ in at most ``radius`` bits."""
+    """(doc_id, fp, component_id, root): component_id is the smallest doc_id reachable over links of fingerprints
+    that differ in at most ``radius`` bits, root a fingerprint that names the group."""
     fps, _ = materialized(fingerprints(docs), "fingerprints")
     nodes, _ = materialized(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     root = components(near_links(nodes.select("fp"), radius, hot))
     # A root is no node of its own rows; it joins its group through itself.
     member = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     label = member.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    label = member.join(label, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return fps.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    label = member.join(label, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "root")
+    return fps.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """``docs`` with one document of each group: that whose doc_id is the group's id.
 
-    Of rows that share that doc_id, the least text stays, once.  Documents without an id can be no
-    group's representative by id; of a group that has none else, the least text stays.
+    Rows that repeat a doc_id leave one row, the one with the least text.  Documents without an id give
+    way to any with one; of a group that has no id at all one document stays.
     """
     names = docs.columns
-    kept = near_duplicate_groups(docs, radius, hot).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("_key"))
-    rows = rows.join(kept.select("_id").distinct(), F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
-    # Whole rows of one id meet here; an id that repeats is reduced before the exchange.
-    rows = rows.groupBy("_key").agg(F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row"))
+    groups, _ = materialized(near_duplicate_groups(docs, radius, hot), "groups")
+    winners = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    winners = winners.select(F.col("doc_id").alias("_id"), "n")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("_key"))
+    once = rows.join(winners.where("n = 1"), F.col("_key") == F.col("_id"), "left_semi").select("row")
+    least = F.min_by("row", F.struct(F.col("row.text"), F.to_json("row"))).alias("row")
+    again = rows.join(winners.where("n > 1"), F.col("_key") == F.col("_id"), "left_semi").groupBy("_key").agg(least).select("row")
+    nameless = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("_fp")).select("_fp")
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    blank = docs.where("doc_id is null").select(whole, fp(F.col("text").cast("binary")).alias("_key"))
+    blank = blank.join(nameless, F.col("_key") == F.col("_fp"), "left_semi").groupBy("_key").agg(least).select("row")
+    rows = once.unionByName(again).unionByName(blank)
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
 
 
