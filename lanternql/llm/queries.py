@@ -1,13 +1,15 @@
 """The registered queries of the training-data operators, and their DuckDB equivalents."""
 
-from . import decontaminate, mixing, quality_rules, simhash, token_file
+from . import classifier, decontaminate, licenses, mixing, quality_rules, simhash, token_file
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
     "op2_divergence_quality": quality_rules.op2_divergence_quality,
+    "op3_license_dice": licenses.op3_license_dice,
     "op4_mix_to_weights": mixing.op4_mix_to_weights,
     "op5_simhash_covering": simhash.op5_simhash_covering,
     "op6_elias_fano": token_file.op6_elias_fano,
+    "op7_subword_classifier": classifier.op7_subword_classifier,
 }
 
 ORACLES = {
