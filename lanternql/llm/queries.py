@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their DuckDB equivalents."""
 
-from . import classifier, decontaminate, licenses, mixing, quality_rules, simhash, token_file
+from . import classifier, decontaminate, licenses, mixing, quality_rules, rollup, simhash, token_file
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
@@ -10,8 +10,10 @@ QUERIES = {
     "op5_simhash_covering": simhash.op5_simhash_covering,
     "op6_elias_fano": token_file.op6_elias_fano,
     "op7_subword_classifier": classifier.op7_subword_classifier,
+    "op10_token_rollup": rollup.op10_token_rollup,
 }
 
 ORACLES = {
     "op4_mix_to_weights": mixing.OP4_SQL,
+    "op10_token_rollup": rollup.OP10_SQL,
 }
