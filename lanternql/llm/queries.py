@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their DuckDB equivalents."""
 
-from . import classifier, decontaminate, licenses, mixing, quality_rules, rollup, simhash, token_file
+from . import classifier, decontaminate, licenses, mixing, pii, quality_rules, rollup, simhash, token_file, url_templates
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_simhash_covering": simhash.op5_simhash_covering,
     "op6_elias_fano": token_file.op6_elias_fano,
     "op7_subword_classifier": classifier.op7_subword_classifier,
+    "op8_pii_disclosure": pii.op8_pii_disclosure,
+    "op9_url_templates": url_templates.op9_url_templates,
     "op10_token_rollup": rollup.op10_token_rollup,
 }
 
