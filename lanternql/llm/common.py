@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +72,12 @@ def discard(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop_path(spark, path)
     return fs.exists(p)
+
+
+def per_worker(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task, such as a loaded model.  Functions travel by value, so
+    their own globals would be made anew for every task."""
+    kept = sys.modules.setdefault("_lanternql_kept", types.ModuleType("_lanternql_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -31,33 +31,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_path, table
+from .common import per_worker, shared_path, table
 
 END = 0
 SEGMENT_IDS = 1 << 20
 STEP = 64
-#: Words whose ids a task keeps: the memory bound of the word cache, not of the result.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps: the memory bound of a cache, not of the result.
+CACHE_WORDS = 500_000
 
-#: How a byte-level BPE vocabulary of this kind splits text before merging.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on whose classes all regular expression libraries agree; other texts go to the library whole.
-PLAIN = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xffĀ-ſ‐-‧‰-›€]|<\|endoftext\|>"
+#: Characters on whose classes all regular expression libraries agree, and the special token, which isn't
+#: split at all.
+PLAIN = r"[^\n\x20-\x7e\xa1-\xac\xae-\xffĀ-ſ‐-‧‰-›€]|<\|endoftext\|>"
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file; pieces seen before are looked up."""
+    """Encodes texts with a tokenizer file; words seen before are looked up.
+
+    Byte-level BPE of this kind splits text into pieces before merging, and a space that stands alone
+    before a word always opens a piece.  So a text is the sum of its parts at such spaces, each part with
+    its space in front.  Texts where a space touches other white space, or with characters beyond
+    ``PLAIN``, go to the library whole.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import re
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(PIECES).findall
-        self.odd = regex.compile(PLAIN).search
+        self.odd = re.compile(PLAIN).search
         self.known: dict[str, bytes] = {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.newline = self.library(["\n"])[0][0]
@@ -65,40 +70,43 @@ class Encoder:
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Pieces never contain white space but in front, so lines of pieces are split at newline ids."""
-        line = [p for p in pieces if not p.isspace()]
-        blank = [p for p in pieces if p.isspace()]
-        for p, ids in zip(blank, self.library(blank)):
-            self.known[p] = np.array(ids, self.kind).tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(ids, self.kind).tobytes() for ids in self.library(texts)]
+
+    def learn(self, words: set[str]) -> None:
+        """Words without white space go as lines, a space before each, and are split at newline ids."""
         size = int(self.kind[2])
+        broken = [w for w in words if not w or "\n" in w]
+        self.known.update(zip(broken, self.whole([" " + w for w in broken])))
+        line = [w for w in words if w and "\n" not in w]
         for at in range(0, len(line), 512):
             some = line[at : at + 512]
-            ids = np.array(self.library(["\n".join(some)])[0], self.kind)
-            raw, stop = ids.tobytes(), (np.append(np.flatnonzero(ids == self.newline), ids.size) * size).tolist()
+            ids = np.array(self.library([" " + "\n ".join(some)])[0], self.kind)
+            raw, stops = ids.tobytes(), (np.append(np.flatnonzero(ids == self.newline), ids.size) * size).tolist()
             start = 0
-            for p, z in zip(some, stop, strict=True):
-                self.known[p] = raw[start:z]
-                start = z + size
+            for w, stop in zip(some, stops, strict=True):
+                self.known[w] = raw[start:stop]
+                start = stop + size
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes, as the library gives them for the whole text."""
         out = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.odd(t)]
-        for i, ids in zip(odd, self.library([texts[i] for i in odd])):
-            out[i] = np.array(ids, self.kind).tobytes()
+        odd = [i for i, t in enumerate(texts) if "  " in t or " \n" in t or "\n " in t or self.odd(t)]
+        for i, raw in zip(odd, self.whole([texts[i] for i in odd])):
+            out[i] = raw
         plain = sorted(set(range(len(texts))).difference(odd))
         for at in range(0, len(plain), 64):
-            pieces = [(i, self.split(texts[i])) for i in plain[at : at + 64]]
-            here = set().union(*(p for _, p in pieces))
+            parts = [(i, texts[i].split(" ")) for i in plain[at : at + 64]]
+            heads = self.whole([p.pop(0) for _, p in parts])
+            here = set().union(*(p for _, p in parts))
             new = here.difference(self.known)
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = here
             self.learn(new)
             get = self.known.__getitem__
-            for i, p in pieces:
-                out[i] = b"".join(map(get, p))
+            for (i, p), head in zip(parts, heads):
+                out[i] = head + b"".join(map(get, p))
         return out
 
 
@@ -167,7 +175,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, segment_ids: int = SE
     def run(batches):
         from pyspark import TaskContext
 
-        encode = Encoder(tokenizer_path)
+        encode = per_worker(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path))
         size, end = int(encode.kind[2]), np.array([END], encode.kind).tobytes()
         part, number = TaskContext.get().partitionId(), 0
         names: list = []
