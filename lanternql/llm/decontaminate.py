@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import per_worker, table
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -59,73 +60,96 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s)
 
 
-class Canon:
-    """Turns texts into arrays of token hashes.  A word's forms are worked out once and looked up after."""
-
-    def __init__(self):
-        self.index: dict[bytes, int] = {}
-        self.clear()
+#: Flags of a word.
+CAPITAL, ENDS, SLOT, DROPPED = 1, 2, 4, 8
+_AROUND = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^`{|}~«»“”‘’„…¿¡–—"
 
-    def clear(self):
-        self.index.clear()
-        #: literal hash, template hash, template hash if it is a name, is capitalised, ends a sentence, is a slot, is dropped
-        self.rows: list[tuple] = []
-        self.table = None
 
-    def learn(self, raw: bytes) -> int:
-        word = raw.decode("utf-8", "replace")
+def canonical(raw: bytes) -> tuple[int, int, int]:
+    """(hash of the literal form, hash of the template form, flags) of a word."""
+    word = raw.decode("utf-8", "replace")
+    bare = word.strip(_AROUND)
+    if not bare.isalpha():
         bare = re.sub(r"^[^\w$€£¥+-]+|[^\w%]+$", "", word)
-        low = bare.lower()
-        literal = _hash(low)
-        kind = None
-        if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+    low = bare.lower()
+    literal = _hash(low)
+    kind = None
+    if low in NUMBER_WORDS:
+        kind = _NUM
+    elif low in UNIT_WORDS or low == "%":
+        kind = _UNIT
+    elif not low.isalpha():
+        if NUMBER.fullmatch(low):
             kind = _NUM
-        elif low in UNIT_WORDS or low == "%":
-            kind = _UNIT
         elif (m := QUANTITY.fullmatch(low)) and m[1] in UNIT_WORDS:
             kind = _QUANTITY
-        capital = kind is None and bare[:1].isupper() and not bare.isupper()
-        ends = word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":")
-        self.rows.append((literal, _hash(kind) if kind else literal, capital, ends, kind is not None, not low))
-        self.index[raw] = at = len(self.rows) - 1
-        self.table = None
-        return at
-
-    def arrays(self):
-        if self.table is None:
-            columns = list(zip(*self.rows)) if self.rows else [[]] * 6
-            self.table = [np.array(c, np.uint64 if i < 2 else bool) for i, c in enumerate(columns)]
-        return self.table
+    flags = SLOT if kind else 0
+    if not kind and bare[:1].isupper() and not bare.isupper():
+        flags |= CAPITAL
+    if word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"):
+        flags |= ENDS
+    if not low:
+        flags |= DROPPED
+    return literal, _hash(kind) if kind else literal, flags
+
+
+class Canon:
+    """Turns texts into arrays of token hashes.  A word's forms are worked out once and looked up after."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.literal = np.zeros(1 << 16, np.uint64)
+        self.template = np.zeros(1 << 16, np.uint64)
+        self.flags = np.zeros(1 << 16, np.uint8)
+        self.name = np.uint64(_hash(_NAME))
+
+    def learn(self, words: list[bytes]) -> None:
+        start, stop = len(self.index), len(self.index) + len(words)
+        for column in ("literal", "template", "flags"):
+            if stop > getattr(self, column).size:
+                setattr(self, column, np.resize(getattr(self, column), 2 * stop))
+        self.index.update(zip(words, range(start, stop)))
+        for column, values in zip((self.literal, self.template, self.flags), zip(*map(canonical, words))):
+            column[start:stop] = values
 
     def __call__(self, texts: list[bytes]):
-        """(document of each token, literal hashes, template hashes, is a slot) over all texts."""
+        """(document of each token, literal hash by positions, template hashes, is a slot) over all texts."""
         words: list[list[bytes]] = [t.split() for t in texts]
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
-        for w in set().union(*words).difference(self.index):
-            self.learn(w)
+        here = set().union(*words)
+        new = here.difference(self.index)
+        if len(self.index) + len(new) > CACHE_WORDS:
+            self.index.clear()
+            new = here
+        if new:
+            self.learn(list(new))
+        sizes = [len(ws) for ws in words]
         get = self.index.__getitem__
-        at = np.array([i for ws in words for i in map(get, ws)], np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
-        literal, template, capital, ends, slot, dropped = (c[at] for c in self.arrays())
-        first = np.concatenate(([True], doc[1:] != doc[:-1])) if at.size else np.zeros(0, bool)
-        after_end = np.concatenate(([True], ends[:-1])) if at.size else np.zeros(0, bool)
-        name = capital & ~first & ~after_end
-        template = np.where(name, np.uint64(_hash(_NAME)), template)
-        keep = ~dropped
-        return doc[keep], literal[keep], template[keep], (slot | name)[keep]
+        at = np.fromiter(chain.from_iterable(map(get, ws) for ws in words), np.int64, sum(sizes))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        flags, template = self.flags[at], self.template[at]
+        inside = np.zeros(at.size, bool)  # not at the start of a sentence
+        inside[1:] = (doc[1:] == doc[:-1]) & (flags[:-1] & ENDS == 0)
+        name = inside & (flags & CAPITAL != 0)
+        template[name] = self.name
+        slot = name | (flags & SLOT != 0)
+        if (flags & DROPPED).any():
+            keep = flags & DROPPED == 0
+            at, doc, template, slot = at[keep], doc[keep], template[keep], slot[keep]
+        literals = self.literal
+        return doc, lambda where: literals[at[where]], template, slot
 
 
 def windows(doc: np.ndarray, template: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the window that starts at each token, is it evidence): windows that run over the end of a
     document or have too few plain words are none."""
     n = max(0, doc.size - WINDOW + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(WINDOW):
-        h = h * np.uint64(_NUMPY_SEED | 1) + template[j : j + n]
+    h = template[:n].copy()
+    for j in range(1, WINDOW):
+        h *= np.uint64(_NUMPY_SEED)
+        h += template[j : j + n]
     h ^= h >> np.uint64(29)
-    plain = np.concatenate(([0], np.cumsum(~slot)))
-    good = (doc[:n] == doc[WINDOW - 1 : WINDOW - 1 + n]) & (plain[WINDOW : WINDOW + n] - plain[:n] >= MIN_LITERALS)
+    slots = sum((slot[j : j + n].view(np.uint8) for j in range(1, WINDOW)), slot[:n].view(np.uint8))
+    good = (doc[:n] == doc[WINDOW - 1 : WINDOW - 1 + n]) & (slots <= WINDOW - MIN_LITERALS)
     return h, good
 
 
@@ -133,8 +157,9 @@ class Benchmark:
     """A block of items, ready to be held against documents."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], canon: Canon):
-        doc, self.literal, self.template, self.slot = canon([t for _, t in items])
-        h, good = windows(doc, self.template, self.slot)
+        doc, literal, template, self.slot = canon([t for _, t in items])
+        self.literal = literal(np.arange(doc.size))
+        h, good = windows(doc, template, self.slot)
         self.ids = [i for i, _ in items]
         self.starts = np.searchsorted(doc, np.arange(len(items) + 1))
         at = np.flatnonzero(good)
@@ -161,7 +186,7 @@ class Benchmark:
                 out.append((ids[d], self.ids[i], int(self.needed[i]), *row[:3], row[3] - start, row[4] - start))
         return out
 
-    def best(self, pairs: list[tuple[int, int]], i: int, literal: np.ndarray, slot: np.ndarray):
+    def best(self, pairs: list[tuple[int, int]], i: int, literal, slot: np.ndarray):
         """The first stretch with enough windows: coverage, literal coverage, consistency, first and last token."""
         need = int(self.needed[i])
         reach = STRETCH * (self.starts[i + 1] - self.starts[i])
@@ -193,13 +218,13 @@ class Benchmark:
         seen = set()
         for q, places in by_window.items():
             mine = self.literal[q + step]
-            equal = [bool((literal[p + step] == mine).all()) for p in places]
+            equal = [bool((literal(p + step) == mine).all()) for p in places]
             same += any(equal)
             p = places[equal.index(True)] if any(equal) else places[0]
             for j in range(WINDOW):
                 if self.slot[q + j] and slot[p + j] and (p + j, q + j) not in seen:
                     seen.add((p + j, q + j))
-                    votes[int(self.literal[q + j]), int(literal[p + j])] += 1
+                    votes[int(self.literal[q + j]), int(literal(p + j))] += 1
         most: dict[int, int] = defaultdict(int)
         for (mine, _), n in votes.items():
             most[mine] = max(most[mine], n)
@@ -230,7 +255,7 @@ def _finder(items: list[tuple[int | None, bytes]]):
     schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in PAIR.split(", ")])
 
     def run(batches):
-        canon = Canon()
+        canon = per_worker(("canon",), Canon)
         known = Benchmark(items, canon)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
