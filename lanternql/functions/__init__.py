@@ -1 +1 @@
-
+"""Typed values, expressions and predicates."""

@@ -1 +1 @@
-
+"""Relational operators: plans to DataFrames."""

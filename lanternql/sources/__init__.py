@@ -1 +1 @@
-
+"""Where rows come from, and shared storage for intermediate ones."""

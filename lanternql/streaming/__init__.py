@@ -1 +1 @@
-
+"""Results as pulled rows."""
