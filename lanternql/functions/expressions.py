@@ -283,12 +283,12 @@ class Scope:
             case ast.And(a, b):
                 x, xr, xy, xn = self.test(a, facts)
                 y, yr, yy, yn = self.test(b, facts | xy)
-                col = F.when(x, y).otherwise(F.lit(False)) if yr else x & y
+                col = F.when(x, y).otherwise(F.lit(False)) if xr or yr else x & y
                 return col, xr or yr, xy | yy, xn & (xy | yn)
             case ast.Or(a, b):
                 x, xr, xy, xn = self.test(a, facts)
                 y, yr, yy, yn = self.test(b, facts | xn)
-                col = F.when(x, F.lit(True)).otherwise(y) if yr else x | y
+                col = F.when(x, F.lit(True)).otherwise(y) if xr or yr else x | y
                 return col, xr or yr, xy & (xn | yy), xn | yn
             case ast.Not(a):
                 x, xr, xy, xn = self.test(a, facts)

@@ -191,7 +191,7 @@ class Lowering:
         windows = any(has_window(i.expr) for i in plain)
         row = listed or windows or bool(q.order_by) or (q.distinct and (q.limit is not None or q.offset is not None))
         if row:
-            df = df.withColumn(ROW, F.monotonically_increasing_id())
+            df = self.numbered(df)
         if windows:
             scope = WindowScope(scope, keys, q.time_field or self.time_field)
         names = [i.alias for i in plain]
@@ -237,7 +237,7 @@ class Lowering:
             if (f,) not in blanked:
                 aggs.append(self.link(g.field((f,)), scope, f).alias(f"__c_{f}"))
         if g.needs_row or first:
-            df = df.withColumn(ROW, F.monotonically_increasing_id())
+            df = self.numbered(df)
         if first or not aggs:
             aggs.append(F.min(ROW).alias(ROW) if first else F.count(F.lit(1)).alias("__n"))
         df = grouped(df, keys, group_cols, q.grouping, aggs, g)
@@ -255,6 +255,11 @@ class Lowering:
         sorts = [(out.value(o.expr), o.desc) for o in q.order_by]
         return self.finish(q, df, names, keys, sorts, nested, first, listed)
 
+    @staticmethod
+    def numbered(df: DataFrame) -> DataFrame:
+        """df with its rows' places in source order, which a join with the parents has kept."""
+        return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+
     def having(self, p, items):
         """Names of computed items stand for their expressions, once, and not inside calls."""
         table = {i.alias: i for i in items if not i.plain}
@@ -308,7 +313,7 @@ class Lowering:
             scope = Scope(inner.schema, self.options, nonnull, outer, n.name)
             if free:
                 inner = inner.where(scope.predicate(conjoined(free)))
-            inner = inner.join(parents, scope.predicate(conjoined(tied)))
+            inner = self.numbered(inner).join(parents, scope.predicate(conjoined(tied)))
             rows, names = self.select(n.but(wheres=()), inner, nonnull, keys, outer, listed=True)
             links = [(f"__c_{f}", k) for f, k in zip(used, keys)]
         lists = self.collected(rows, names, keys, n.name)
