@@ -2,7 +2,8 @@
 
 A file set is a table of segments, each a run of documents in ascending doc_id order:
 
-``first_id, last_id, n_docs, n_ids``  what the segment holds
+``part, number, before``  which task wrote it, its place there, and the ids of that task before it
+``n_docs, n_ids``  what the segment holds
 ``ids``     the ids of its documents one after the other, little-endian, 16 bits each if the vocabulary
             allows it, else 32
 ``low, high, marks``  the ends of its documents in ``ids`` as an Elias-Fano sequence: the low bits packed,
@@ -36,21 +37,22 @@ from .common import per_worker, shared_path, table
 END = 0
 SEGMENT_IDS = 1 << 20
 STEP = 64
-#: Words whose ids a worker keeps: the memory bound of a cache, not of the result.
-CACHE_WORDS = 500_000
+#: Pieces whose ids a worker keeps: the memory bound of a cache, not of the result.
+CACHE_PIECES = 700_000
 
-#: Characters on whose classes all regular expression libraries agree, and the special token, which isn't
-#: split at all.
+#: Characters whose classes are spelled out in PIECES; texts with any other go to the library whole, as do
+#: those with the special token, which isn't split at all.
 PLAIN = r"[^\n\x20-\x7e\xa1-\xac\xae-\xffĀ-ſ‐-‧‰-›€]|<\|endoftext\|>"
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+#: How a byte-level BPE vocabulary of this kind splits such texts before merging.
+PIECES = rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file; words seen before are looked up.
+    """Encodes texts with a tokenizer file; pieces seen before are looked up.
 
-    Byte-level BPE of this kind splits text into pieces before merging, and a space that stands alone
-    before a word always opens a piece.  So a text is the sum of its parts at such spaces, each part with
-    its space in front.  Texts where a space touches other white space, or with characters beyond
-    ``PLAIN``, go to the library whole.
+    Byte-level BPE splits a text into pieces and merges inside each piece alone, so a text's ids are those of
+    its pieces one after the other.
     """
 
     def __init__(self, path: str):
@@ -60,53 +62,54 @@ class Encoder:
         import re
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model, for lines that are one piece each.
+        self.by_line = Tokenizer(self.tokenizer.model)
+        self.by_line.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.split = re.compile(PIECES).findall
         self.odd = re.compile(PLAIN).search
         self.known: dict[str, bytes] = {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.newline = self.library(["\n"])[0][0]
-
-    def library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.newline = self.tokenizer.encode("\n").ids[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, self.kind).tobytes() for ids in self.library(texts)]
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in got]
 
-    def learn(self, words: set[str]) -> None:
-        """Words without white space go as lines, a space before each, and are split at newline ids."""
+    def learn(self, pieces: set[str]) -> None:
         size = int(self.kind[2])
-        broken = [w for w in words if not w or "\n" in w]
-        self.known.update(zip(broken, self.whole([" " + w for w in broken])))
-        line = [w for w in words if w and "\n" not in w]
-        for at in range(0, len(line), 512):
-            some = line[at : at + 512]
-            ids = np.array(self.library([" " + "\n ".join(some)])[0], self.kind)
+        blank = [p for p in pieces if p.isspace()]
+        self.known.update(zip(blank, self.whole(blank)))
+        lines = [p for p in pieces if not p.isspace()]
+        for at in range(0, len(lines), 1024):
+            some = lines[at : at + 1024]
+            ids = np.array(self.by_line.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
             raw, stops = ids.tobytes(), (np.append(np.flatnonzero(ids == self.newline), ids.size) * size).tolist()
             start = 0
-            for w, stop in zip(some, stops, strict=True):
-                self.known[w] = raw[start:stop]
+            for p, stop in zip(some, stops, strict=True):
+                self.known[p] = raw[start:stop]
                 start = stop + size
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes, as the library gives them for the whole text."""
         out = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if "  " in t or " \n" in t or "\n " in t or self.odd(t)]
+        odd = [i for i, t in enumerate(texts) if self.odd(t)]
         for i, raw in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = raw
         plain = sorted(set(range(len(texts))).difference(odd))
         for at in range(0, len(plain), 64):
-            parts = [(i, texts[i].split(" ")) for i in plain[at : at + 64]]
-            heads = self.whole([p.pop(0) for _, p in parts])
+            parts = [(i, self.split(texts[i])) for i in plain[at : at + 64]]
             here = set().union(*(p for _, p in parts))
             new = here.difference(self.known)
-            if len(self.known) + len(new) > CACHE_WORDS:
+            if len(self.known) + len(new) > CACHE_PIECES:
                 self.known.clear()
                 new = here
             self.learn(new)
             get = self.known.__getitem__
-            for (i, p), head in zip(parts, heads):
-                out[i] = head + b"".join(map(get, p))
+            for i, p in parts:
+                out[i] = b"".join(map(get, p))
         return out
 
 
@@ -164,9 +167,9 @@ class Boundaries:
 
 
 SEGMENT = pa.schema(
-    [("part", pa.int32()), ("number", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes_per_id", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("marks", pa.binary()), ("names", pa.list_(pa.int64()))]
+    [("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes_per_id", pa.int32()), ("ids", pa.binary()), ("width", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("marks", pa.binary()), ("names", pa.list_(pa.int64()))]
 )
-SEGMENT_DDL = "part int, number int, n_docs long, n_ids long, bytes_per_id int, ids binary, width int, low binary, high binary, marks binary, names array<long>"
+SEGMENT_DDL = "part int, number int, before long, n_docs long, n_ids long, bytes_per_id int, ids binary, width int, low binary, high binary, marks binary, names array<long>"
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, segment_ids: int = SEGMENT_IDS) -> None:
@@ -180,14 +183,14 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, segment_ids: int = SE
         part, number = TaskContext.get().partitionId(), 0
         names: list = []
         arrays: list[bytes] = []
-        held = 0
+        held = before = 0
 
         def segment():
-            nonlocal names, arrays, held, number
+            nonlocal names, arrays, held, number, before
             ends = np.cumsum([len(a) // size for a in arrays])
             width, low, high, marks = elias_fano(ends)
-            row = [part, number, len(names), held, size, b"".join(arrays), width, low, high, marks, names]
-            names, arrays, held, number = [], [], 0, number + 1
+            row = [part, number, before, len(names), held, size, b"".join(arrays), width, low, high, marks, names]
+            names, arrays, before, held, number = [], [], before + held, 0, number + 1
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SEGMENT)], schema=SEGMENT)
 
         for b in batches:
@@ -212,11 +215,11 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, segment_ids: int = SE
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document of a file set, decoded: doc_id, start, n_tokens, ids_crc32."""
     segments = spark.read.schema(SEGMENT_DDL).parquet(path)
-    sizes = segments.select("part", "number", "n_ids")
-    # One row a segment of a million ids; only these meet in one task.
-    before = F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("part").alias("p"), F.col("number").alias("m"), F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    rows = segments.join(sizes, (F.col("part") == F.col("p")) & (F.col("number") == F.col("m")))
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    base = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("part").alias("p"), F.coalesce(base, F.lit(0)).cast("long").alias("base"))
+    # One row of two numbers for each task of the writing job: a small side whatever the segments hold.
+    rows = segments.join(F.broadcast(parts), F.col("part") == F.col("p")).withColumn("base", F.col("base") + F.col("before"))
     columns = ["base", "n_docs", "bytes_per_id", "ids", "width", "low", "high", "marks", "names"]
 
     def run(batches):
