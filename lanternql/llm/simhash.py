@@ -122,7 +122,7 @@ def _buckets(limit: int | None, radius: int):
             hot: list = []
 
             def close(key, members, over):
-                if over:
+                if over or (limit is not None and members.size > limit):
                     hot.extend((int(key), int(x)) for x in members)
                 elif members.size > 1:
                     links.extend(forest(np.unique(members), radius))
@@ -147,11 +147,11 @@ def _buckets(limit: int | None, radius: int):
             near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= radius]
             links.extend(zip(fps[near].tolist(), fps[near + 1].tolist()))
             for a, n in zip(at[size > 2].tolist(), size[size > 2].tolist()):
-                close(keys[a], fps[a : a + n], limit is not None and n > limit)
+                close(keys[a], fps[a : a + n], False)
             if links or hot:
                 yield emit(links, hot)
         links, hot = [], []
-        if over:
+        if over or (limit is not None and held.size > limit):
             hot = [(int(held_key), int(x)) for x in held]
         elif held.size > 1:
             links = forest(np.unique(held), radius)

@@ -1,0 +1,80 @@
+from collections import Counter
+
+import pytest
+
+from lanternql.llm import licenses as q
+from tests.llm import cases
+
+MIT = q.TEMPLATES["MIT"][2]
+
+
+def brute(text):
+    """The best coefficient of every licence over all runs of lines, without any pruning."""
+    lines = text.split("\n")
+    out = {}
+    for name, templates in q.TEMPLATES.items():
+        for t in templates:
+            grams = q.bigrams(q.normalized(t))
+            for a in range(len(lines)):
+                for z in range(a, len(lines)):
+                    own = q.bigrams(q.normalized(" ".join(lines[a : z + 1])))
+                    common = sum((own & grams).values())
+                    size = sum(own.values()) + sum(grams.values())
+                    if size and 2 * common / size >= q.THRESHOLD:
+                        out[name] = max(out.get(name, 0), 2 * common / size)
+    return out
+
+
+def commented(text, width=9):
+    words = text.split()
+    return "\n".join("# " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Some prose.\nReleased under the MIT License.\nMore prose.",
+        "released UNDER the *MIT* license",
+        "Copyright 2020 Someone\n" + commented(MIT) + "\n\nimport os\n",
+        commented(q.TEMPLATES["Apache-2.0"][1]) + "\nThis work is licensed under the GNU General Public License, version 3.",
+        MIT.replace("merge, publish, ", "").replace("OTHERWISE", "ELSE"),
+        "nothing of the sort\nat all",
+        "",
+        "Licensed under CC BY-NC 4.0.\nLicensed under CC BY 4.0.",
+    ],
+)
+def test_against_brute_force(text):
+    got = {name: score for name, score, _, _ in q.Scanner()(text)}
+    want = brute(text)
+    if want:
+        best = max(want.values())
+        assert max(got.values()) == pytest.approx(best) and set(got) <= set(want)
+        assert [n for n in got if got[n] == pytest.approx(best)][0] in [n for n in want if want[n] == best]
+    else:
+        assert got == {}
+
+
+def test_near_names_do_not_count_twice():
+    assert [r[0] for r in q.Scanner()("This work is licensed under the GNU General Public License, version 3.")] == ["GPL-3.0"]
+
+
+def test_size_bounds_are_exact():
+    s = q.Scanner()
+    for _, grams, size, least, most in s.templates:
+        assert 2 * least / (least + size) == pytest.approx(q.THRESHOLD) and 2 * size / (most + size) == pytest.approx(q.THRESHOLD)
+
+
+def test_documents(spark):
+    rows = cases.documents(20) + [(800, "x\nReleased under the MIT License.", "en", "s", 0)] * 2
+    got = q.scan(cases.clashing(cases.frame(spark, rows))).collect()
+    assert Counter(str(r.doc_id) for r in got) == Counter(str(r[0]) for r in rows)
+    assert {r.doc_id for r in got if r.found} == {800}
+    assert [(f.license, f.dice, f.first_line) for r in got for f in r.found] == [("MIT", 1.0, 1)] * 2
+    assert q.scan(cases.empty(spark)).collect() == []
+
+
+def test_query(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    for r in q.op3_license_dice(spark, d).collect():
+        assert (r.license is not None) == any(f in texts[r.doc_id] for f in ("MIT License", "Apache License", "General Public", "CC BY"))

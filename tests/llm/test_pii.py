@@ -1,0 +1,117 @@
+import hashlib
+import math
+import re
+from collections import defaultdict
+
+import pytest
+
+from lanternql.llm import pii as q
+from tests.llm import cases
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def valid(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in match.split(".")), "card": lambda: 13 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}[kind]()
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if valid(k, m.group())]
+
+
+ROWS = [
+    (1, "ann@x.org Zebulon lives here. a@b.c_d@e.f 1.2.3.4.5 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.004 4111 1111 1111 1111 +1 (212) 555-1234 x"),
+    (None, "mail to ann@x.org Zebulon here ß@q.de é+1 23456789.0"),
+    (3, "really Zebulon and ann@x.org is it"),
+    (1, "9" * 30000 + " a" * 5 + "z" * 30000 + "@"),
+    (5, "Zebulon alone"),
+    (7, "++1 234 567 890 -- 4111-1111-1111-1111-"),
+    (8, "x 𝒜 ann@x.org..y@z..com a@b-.c-d.e @@ a@.b +12 +1() 1.1.1.1@x.yz"),
+    (9, "1.2.3.4 " * 400),
+]
+
+
+def rows():
+    base = [(i, t, "en", "s", 0) for i, t in ROWS]
+    return base + cases.documents(30) + [(300 + i, f"plain words number {i}", "en", "s", 0) for i in range(30)]
+
+
+def test_spans(spark):
+    got = q.find(cases.clashing(cases.frame(spark, rows()))).select("doc_id", q.joined(q.KINDS).alias("s"), *[q.F.size(k).alias(f"n_{k}") for k in q.KINDS]).collect()
+    want = sorted((str(r[0]), ",".join(f"{k}:{a}:{z}" for k, a, z in brute(r[1]))) for r in rows())
+    assert sorted((str(r.doc_id), r.s) for r in got) == want
+    assert sum(r.n_ip for r in got) == sum(k == "ip" for r in rows() for k, _, _ in brute(r[1]))
+
+
+def brute_terms(docs, support=q.SUPPORT, disclosure=q.DISCLOSURE):
+    """(entity, term) pairs by the definition, over distinct texts."""
+    texts = sorted({t or "" for t in docs})
+    words = lambda t: set(re.findall(r"[^\W_]{4,}", t.lower()))
+    contexts, holders, having = defaultdict(set), defaultdict(set), defaultdict(set)
+    for n, t in enumerate(texts):
+        for w in words(t):
+            having[w].add(n)
+        for k, a, z in brute(t):
+            left, right = t[max(0, a - q.REACH) : a], t[z : z + q.REACH]
+            left = re.sub(r"^[^\W_]+", "", left) if a > q.REACH else left
+            right = re.sub(r"[^\W_]+$", "", right) if z + q.REACH < len(t) else right
+            contexts[f"{k}:{t[a:z]}"].add((left + "\n" + right).lower())
+            holders[f"{k}:{t[a:z]}"].add(n)
+    out = {}
+    for e, cs in contexts.items():
+        if len(cs) >= support:
+            for w in set().union(*map(words, cs)):
+                together = sum(w in words(c) for c in cs)
+                if together >= support:
+                    known = math.log((together / len(cs)) / (len(having[w]) / len(texts)))
+                    out[e, w] = known / -math.log(len(holders[e]) / len(texts))
+    return {k: v for k, v in out.items() if v >= disclosure}
+
+
+def test_disclosing_terms(spark):
+    df = cases.frame(spark, rows())
+    got = {(r.entity, r.term): r.ratio for r in q.disclosing(df, q.entities(df)).collect()}
+    want = brute_terms([r[1] for r in rows()])
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and ("email:ann@x.org", "zebulon") in got
+    terms = {r.doc_id: [s.match for s in r.term] for r in q.find(df).collect() if r.term}
+    assert "Zebulon" in terms[3] and 5 not in terms
+
+
+def test_digest(spark, tmp_path):
+    spark.createDataFrame([(r[0], r[1]) for r in rows()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in q.op8_pii_disclosure(spark, str(tmp_path)).collect():
+        base = r.spans.split(",term:")[0] if not r.spans.startswith("term:") else ""
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_no_python_in_the_plan(spark):
+    df = cases.frame(spark, rows())
+    for frame in (q.entities(df), q.find(df)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sanitize(spark):
+    df = cases.clashing(cases.frame(spark, rows()))
+    out = q.sanitize(df)
+    assert out.columns == df.columns and out.count() == len(rows())
+    got = [r.text for r in out.collect()]
+    assert {"really  and <email> is it", "Zebulon alone", "++1 234 567 890 -- <card>-", None} <= set(got)
+
+
+def test_empty(spark):
+    assert q.find(cases.empty(spark)).collect() == [] and q.sanitize(cases.empty(spark)).collect() == []
