@@ -29,6 +29,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(shrunk), F.lit(0)).cast("long")
 
 
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 8 << 20
+
+
+def to_python(df: DataFrame) -> DataFrame:
+    """``df``, with the session's batches to Python bounded in bytes: texts may be long, and a batch stands
+    several times in a task's memory.  A smaller bound that is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = conf.get(name).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder which the driver and all executors see.
 
@@ -76,8 +91,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def per_worker(key: tuple, make: Callable[[], object]):
     """What a Python worker keeps from task to task, such as a loaded model.  Functions travel by value, so
-    their own globals would be made anew for every task."""
+    their own globals would be made anew for every task.  Only the last thing asked for is kept: workers
+    outlive stages, and their memory is not to grow with the number of operators."""
     kept = sys.modules.setdefault("_lanternql_kept", types.ModuleType("_lanternql_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("key") != key:
+        kept.pop("value", None)
+        kept["key"], kept["value"] = key, make()
+    return kept["value"]

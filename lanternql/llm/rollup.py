@@ -15,36 +15,64 @@ nothing; groups whose documents and tokens are all taken back are left out of ``
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, hadoop_path, materialized, shared_path, table, word_count
+from .common import exists, hadoop_path, materialized, shared_path, table, to_python
 
 KEYS = ("source", "lang", "tokenizer_version")
 DDL = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
-#: Tokenizer versions by rule: runs without white space; the same after symbols are blanked; runs of
-#: letters and digits, with every other visible ASCII character a token.
-SYMBOLS = r"[#*$%&|<>]"
+#: Bytes that are no letter, digit or part of a character beyond ASCII.
+_BREAKS = bytes(c for c in range(128) if not chr(c).isalnum())
+_MARKS = bytes(c for c in _BREAKS if 32 < c < 127)
+_SPACED = bytes(32 if c in _BREAKS else c for c in range(256))
+_NO_MARKS = bytes(c for c in range(256) if c not in _MARKS)
+SYMBOLS = b"#*$%&|<>"
+_BARE = bytes(32 if c in SYMBOLS else c for c in range(256))
 
 
-def _runs(text: Column) -> Column:
-    runs = F.length(F.regexp_replace(F.regexp_replace(text, r"[A-Za-z0-9\x80-\x{10FFFF}]+", "x"), r"[^x]+", ""))
-    marks = F.length(F.regexp_replace(text, r"[^!-/:-@\[-`{-~]+", ""))
-    return F.coalesce((runs + marks).cast("long"), F.lit(0).cast("long"))
+def words(text: bytes) -> int:
+    """Runs without white space."""
+    return len(text.split())
 
 
-VERSIONS = {"words-1": word_count, "runs-1": _runs}
+def runs(text: bytes) -> int:
+    """Runs of letters and digits (all characters beyond ASCII among them), and every ASCII mark."""
+    return len(text.translate(_SPACED).split()) + len(text.translate(None, _NO_MARKS))
 
 
-def counted(docs: DataFrame, bare_text: Column | None = None) -> DataFrame:
-    """doc_id, source, lang, tokenizer_version, n_tokens and bare_tokens (of ``bare_text``, if given): a row
-    for each document and version."""
-    bare = F.col("text") if bare_text is None else bare_text
-    counts = F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), f(F.col("text")).alias("n_tokens"), f(bare).alias("bare_tokens")) for v, f in VERSIONS.items()])
-    rows = docs.select("doc_id", "source", "lang", F.explode(counts).alias("c"))
-    return rows.select("doc_id", "source", "lang", "c.tokenizer_version", "c.n_tokens", "c.bare_tokens")
+def bare(text: bytes) -> bytes:
+    """The text with its symbols blanked."""
+    return text.translate(_BARE)
+
+
+#: Tokenizer versions: from a UTF-8 text to its number of tokens.
+VERSIONS = {"words-1": words, "runs-1": runs}
+
+
+def counted(docs: DataFrame, versions: dict[str, Callable[[bytes], int]] = VERSIONS, change: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """doc_id, source, lang, tokenizer_version, n_tokens and changed_tokens (of ``change(text)``): a row for
+    each document and version.  Texts are read once."""
+    counters = list(versions.values())
+
+    @F.pandas_udf("array<long>")
+    def count(texts: pd.Series) -> pd.Series:
+        def one(t):
+            t = t or b""
+            other = change(t) if change else t
+            return [f(t) for f in counters] + [f(other) for f in counters]
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    rows = to_python(docs).select("doc_id", "source", "lang", count(F.col("text").cast("binary")).alias("n"))
+    n = len(counters)
+    parts = [F.struct(F.lit(v).alias("v"), F.get("n", F.lit(i)).alias("a"), F.get("n", F.lit(n + i)).alias("b")) for i, v in enumerate(versions)]
+    rows = rows.select("doc_id", "source", "lang", F.explode(F.array(*parts)).alias("p"))
+    return rows.select("doc_id", "source", "lang", F.col("p.v").alias("tokenizer_version"), F.col("p.a").alias("n_tokens"), F.col("p.b").alias("changed_tokens"))
 
 
 def inserts(rows: DataFrame) -> DataFrame:
@@ -98,14 +126,13 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic are taken out; those labelled of low quality are revised to their count without symbols; and
     the take-down arrives a second time, which changes nothing."""
     docs = table(spark, sf_dir, "documents")
-    # Texts are read once; what is joined and summed after are a few numbers a document.
-    counts = counted(docs, bare_text=F.regexp_replace("text", SYMBOLS, " "))
-    counts, _ = materialized(counts, "counts")
+    # What is joined and summed from here on are a few numbers a document.
+    counts, _ = materialized(counted(docs, change=bare), "counts")
     labels = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
     labels = labels.agg(F.max((F.col("toxic") == 1).cast("int")).alias("_toxic"), F.max((F.col("quality") == 0).cast("int")).alias("_low"))
     known = counts.join(labels, F.col("doc_id") == F.col("_id"))
     gone = known.where("_toxic = 1")
-    revised = known.where("_low = 1 and coalesce(_toxic, 0) = 0").withColumnsRenamed({"n_tokens": "old_tokens", "bare_tokens": "new_tokens"})
+    revised = known.where("_low = 1 and coalesce(_toxic, 0) = 0").withColumnsRenamed({"n_tokens": "old_tokens", "changed_tokens": "new_tokens"})
     rollup = Rollup(spark, shared_path(spark, "rollup"))
     rollup.commit("ingest", inserts(counts))
     rollup.commit("take-down", deletes(gone))
