@@ -119,16 +119,24 @@ class GroupScope(Scope):
         return p
 
     def percentile(self, e: ast.Call, v: Value, x: Column) -> Value:
-        """Nearest rank.  Numbers go through the built-in counting aggregate; its rank is worked out in
-        doubles, so the share is lowered by a few units in the last place, which keeps exact ranks and never
-        reaches the one below.  Other types, and shares that are no literal, take the sorted values."""
+        """Nearest rank.  Numbers, dates and timestamps go through the built-in counting aggregate; its rank is
+        worked out in doubles, so the share is lowered by a few units in the last place, which keeps exact
+        ranks and never reaches the one below.  Other types, and shares that are no literal, take the sorted
+        values."""
         p = self.share(e)
-        if v.kind in V.NUMBERS and p.literal is not None:
+        # A double holds days and microseconds exactly (up to 2^53, the year 2255).
+        there, back = {
+            "date": (F.unix_date, lambda c: F.date_from_unix_date(c.cast("int"))),
+            "utc": (F.unix_micros, lambda c: F.timestamp_micros(c.cast("long"))),
+            # The session's zone stands for none, both ways.
+            "naive": (lambda c: F.unix_micros(c.cast("timestamp")), lambda c: F.timestamp_micros(c.cast("long")).cast("timestamp_ntz")),
+        }.get(v.kind, (lambda c: c, lambda c: c.cast(v.type)))
+        if v.kind in (*V.NUMBERS, "date", "utc", "naive") and p.literal is not None:
             name = f"__p{len(self.prepared)}"
-            self.prepared[name] = x.cast("double")
+            self.prepared[name] = there(x).cast("double")
             share = float(p.literal) * (1 - 2.0**-50)
             col = F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY `{name}`)")
-            return Value(col.cast(v.type), v.kind, type=v.type)
+            return Value(back(col), v.kind, type=v.type)
         return v.but(col=ranked(F.collect_list(x), p), nonnull=False, literal=None)
 
     def rate(self, d: Value) -> Value:
