@@ -1,6 +1,8 @@
 """``python -m lanternql query TEXT`` or ``--file F``, and ``python -m lanternql repl``.
 
-``--data NAME=PATH`` registers a Parquet file or folder, ``--dir D`` every ``*.parquet`` of a folder.
+``--data NAME=PATH`` registers a Parquet file or folder, ``--dir D`` every ``*.parquet`` of a folder.  ``--config``
+names a JSON file of backends, ``{"default": "a", "backends": {"a": {"dir": ..., "data": {...}, "strict_nulls": true,
+"exact_output": "double"}}}``, of which ``--backend`` chooses one.
 """
 
 from __future__ import annotations
@@ -32,6 +34,17 @@ def catalog_of(spark: SparkSession, data: list[str], folder: str | None) -> Cata
     return catalog
 
 
+def backend(config: dict, name: str | None) -> dict:
+    """The chosen backend of a configuration: the one named, the default, or the only one."""
+    backends = config.get("backends", {})
+    name = name or config.get("default") or (next(iter(backends)) if len(backends) == 1 else None)
+    if name is None:
+        raise QueryError("backend_needed", sorted(backends))
+    if name not in backends:
+        raise QueryError("unknown_backend", name, sorted(backends))
+    return backends[name]
+
+
 def show(engine: Engine, text: str, params: dict, limit: int | None, write: Callable[[str], object]) -> bool:
     try:
         rows = engine.rows(text, params)
@@ -70,6 +83,8 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lanternql", description=__doc__)
     p.add_argument("--data", action="append", default=[], metavar="NAME=PATH")
     p.add_argument("--dir")
+    p.add_argument("--config")
+    p.add_argument("--backend")
     p.add_argument("--lenient", action="store_true", help="nulls compare as in SQL")
     sub = p.add_subparsers(dest="command", required=True)
     q = sub.add_parser("query")
@@ -80,7 +95,13 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("repl")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("lanternql").getOrCreate()
-    engine = Engine(catalog_of(spark, a.data, a.dir), strict_nulls=not a.lenient)
+    chosen: dict = {}
+    if a.config:
+        with open(a.config) as f:
+            chosen = backend(json.load(f), a.backend)
+    data = [*(f"{k}={v}" for k, v in chosen.get("data", {}).items()), *a.data]
+    catalog = catalog_of(spark, data, a.dir or chosen.get("dir"))
+    engine = Engine(catalog, strict_nulls=chosen.get("strict_nulls", True) and not a.lenient, exact_output=chosen.get("exact_output", "double"))
     if a.command == "repl":
         repl(engine, sys.stdin, sys.stdout.write)
         return 0

@@ -25,6 +25,8 @@ AGGREGATES = ("sum", "avg", "count", "min", "max", "var_pop", "var_samp", "stdde
 CASTS = ("string", "int", "exact", "inexact", "json", "dxn", "dxnb")
 RANKINGS = ("row_number", "rank", "first_value", "last_value")
 RESERVED = frozenset((*AGGREGATES, *CASTS, *RANKINGS))
+#: Casts whose codec is no part of the language: they run what is registered under their name.
+DECODERS = frozenset(("dxn", "dxnb"))
 
 NULL_COMPARED = "comparing a nullable field against a typed value encountered a nil value"
 
@@ -36,7 +38,7 @@ class Functions:
         self.table: dict[str, Callable[..., Column]] = {}
 
     def register(self, name: str, f: Callable[..., Column]) -> None:
-        if name in RESERVED:
+        if name in RESERVED - DECODERS:
             raise QueryError("reserved_function", name)
         self.table[name] = f
 
@@ -270,7 +272,8 @@ class Scope:
                 raise QueryError("json(...) only applies to a String value", v.kind)
             return Value(F.parse_json(v.col), "json", v.nonnull, type=T.VariantType())
         if f := self.options.functions.table.get(name):
-            return Value(f(v.col), "json", False, type=T.VariantType())
+            col = f(v.col)
+            return Value(col, *self.typed(col))
         raise QueryError("unsupported", f"{name}(...) needs a decoder: register a function of that name")
 
     # -- predicates

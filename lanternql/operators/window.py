@@ -114,15 +114,23 @@ class WindowScope(Scope):
         (a, m), (b, n) = e.frame
         return place(a, m), place(b, n), size
 
-    def sliced(self, e: ast.Over, v: Value, x: Column, rows) -> Value:
-        # Values are boxed, as lists leave nulls out.
-        everything = F.collect_list(F.struct(x.alias("v"))).over(rows.rowsBetween(*_WHOLE))
+    def boxed(self, x: Column, rows) -> Column:
+        """All of a partition's values in order; boxed, as lists leave nulls out."""
+        return F.collect_list(F.struct(x.alias("v"))).over(rows.rowsBetween(*_WHOLE))
+
+    def slice(self, e: ast.Over, x: Column, rows) -> Column:
+        """The values of a frame whose ends are clamped into the partition; none if it is inverted."""
+        everything = self.boxed(x, rows)
         low, high, _ = self.places(e, rows)
+        some = F.when(high >= low, F.slice(everything, low + 1, F.greatest(F.lit(0), high - low + 1))).otherwise(F.slice(everything, 1, 0))
+        return F.transform(some, lambda s: s["v"])
+
+    def sliced(self, e: ast.Over, v: Value, x: Column, rows) -> Value:
         name = e.call.name
         if name in ("first_value", "last_value"):
-            return v.but(col=F.get(everything, low if name == "first_value" else high)["v"], nonnull=False, literal=None)
-        some = F.when(high >= low, F.slice(everything, low + 1, F.greatest(F.lit(0), high - low + 1))).otherwise(F.slice(everything, 1, 0))
-        vals = F.transform(some, lambda s: s["v"])
+            low, high, _ = self.places(e, rows)
+            return v.but(col=F.get(self.boxed(x, rows), low if name == "first_value" else high)["v"], nonnull=False, literal=None)
+        vals = self.slice(e, x, rows)
         n = F.size(vals)
         if name == "count":
             return Value((F.size(F.array_distinct(vals)) if e.call.distinct else n).cast("long"), "int", True, type=T.LongType())
@@ -153,10 +161,12 @@ class WindowScope(Scope):
     def rate(self, d: Value, e: ast.Over, rows) -> Value:
         if not self.time_field:
             raise QueryError("rate(...) needs a LAST <duration> OF <field> clause")
+        at = micros(self.field(self.time_field))
         low, high = self.bounds(e.frame)
         if low is None:
-            raise QueryError("unsupported", "rate(...) over this frame")
-        at, w = micros(self.field(self.time_field)), rows.rowsBetween(low, high)
+            times = self.slice(e, at, rows)
+            return per_time(F.size(times).cast("long"), F.array_max(times) - F.array_min(times), d)
+        w = rows.rowsBetween(low, high)
         return per_time(F.count(at).over(w), F.max(at).over(w) - F.min(at).over(w), d)
 
 

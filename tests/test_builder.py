@@ -1,6 +1,6 @@
 import pytest
 
-from lanternql.cli import repl, show
+from lanternql.cli import backend, main, repl, show
 from lanternql.engine import Engine, parse
 from lanternql.errors import QueryError
 from lanternql.plans import ast
@@ -48,3 +48,16 @@ def test_command_line(spark):
     out.clear()
     repl(e, ["SELECT users\n", "WHERE age = 17\n", "{ name }\n", "SELECT nope\n", "\n", "quit\n", "SELECT users { name }\n"], out.append)
     assert out[0] == '{"name": "Bob"}\n' and out[1].startswith("error") and len(out) == 2
+
+
+def test_backends(spark, tmp_path, capsys):
+    config = {"default": "a", "backends": {"a": {"dir": str(tmp_path)}, "b": {}}}
+    assert backend(config, None) == {"dir": str(tmp_path)} and backend(config, "b") == {}
+    for name, c in [("c", config), (None, {"backends": {"a": {}, "b": {}}})]:
+        with pytest.raises(QueryError):
+            backend(c, name)
+    spark.range(3).write.parquet(str(tmp_path / "numbers.parquet"))
+    file = tmp_path / "config.json"
+    file.write_text(__import__("json").dumps(config))
+    assert main(["--config", str(file), "query", "SELECT numbers WHERE id > $n { id } ".replace("WHERE id > $n", "WHERE id not= nil AND id > $n"), "--param", "n=1"]) == 0
+    assert capsys.readouterr().out == '{"id": 2}\n'

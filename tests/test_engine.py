@@ -195,6 +195,12 @@ def test_rate(run):
     assert run("SELECT rate_events GROUP BY service ORDER BY service { service, r: rate(30s) }", time_field=("at",)) == [{"service": "a", "r": 1.0}, {"service": "b", "r": 1.5}]
 
 
+def test_rate_over_frames(run):
+    q = "SELECT rate_events WHERE service = 'a' ORDER BY at { r: rate(40s) OVER ORDER BY at ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING, t: rate(40s) OVER ORDER BY at }"
+    rows = run(q, time_field=("at",))
+    assert col(rows, "r") == [2.0, 2.0, None, None] and col(rows, "t") == [pytest.approx(4 / 3)] * 4
+
+
 def test_windows(run):
     q = "SELECT employees ORDER BY name { name, rn: row_number() OVER PARTITION BY department ORDER BY salary DESC, rk: rank() OVER PARTITION BY department ORDER BY salary DESC, s: sum(salary) OVER PARTITION BY department ORDER BY salary ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW, t: sum(salary) OVER PARTITION BY department ORDER BY salary, flat: rank() OVER PARTITION BY department, off: salary - avg(salary) OVER PARTITION BY department }"
     rows = run(q)
@@ -302,3 +308,5 @@ def test_functions(spark):
         e.functions.register("sum", F.upper)
     with pytest.raises(QueryError, match="decoder"):
         e.run("SELECT users { x: dxn(name) }")
+    e.functions.register("dxn", lambda c: F.parse_json(F.concat(F.lit('{"n": "'), c, F.lit('"}'))))
+    assert col(e.rows("SELECT users WHERE dxn(name).n = 'Bob' { n: dxn(name).n }").to_list(), "n") == ["Bob"]
