@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, table
+from .common import per_worker, table, to_python
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -36,7 +36,7 @@ SEED = 7
 FOLDS = 5
 THRESHOLD = 0.3
 #: Words whose sums a worker keeps: the memory bound of a cache, not of the result.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 def word_features(word: bytes) -> list[int]:
@@ -155,7 +155,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             kept.update(model=name, known={})
         return pd.Series(score(texts.tolist(), sent.value, bias, kept["known"]))
 
-    rows = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), run(F.col("text").cast("binary")).alias("score"))
+    rows = to_python(docs).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), run(F.col("text").cast("binary")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

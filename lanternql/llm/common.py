@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, exists, hadoop_path, materialized, shared_dir, shared_path
+
+__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "per_worker", "shared_dir", "shared_path", "table", "to_python", "word_count"]
+
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and return.
 #: ``bytes.split()`` splits on exactly these six, which the Python parts rely on.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,51 +46,6 @@ def to_python(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder which the driver and all executors see.
-
-    It is the session's ``spark.checkpoint.dir``.  Only a local master, where all is one machine, may
-    do without the setting.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="lanternql-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialized(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut, a lost executor costs
-    no recomputation, and later joins know the size.  Returns the frame and its path."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = hadoop_path(spark, path)
-    return fs.exists(p)
-
-
 def per_worker(key: tuple, make: Callable[[], object]):
     """What a Python worker keeps from task to task, such as a loaded model.  Functions travel by value, so
     their own globals would be made anew for every task.  Only the last thing asked for is kept: workers

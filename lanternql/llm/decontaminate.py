@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, table
+from .common import per_worker, table, to_python
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -40,7 +40,7 @@ MIN_LITERALS = 2
 SLOT_CONSISTENCY = 0.8
 BLOCK_CHARS = 32_000_000
 #: Words of which a task keeps the canonical form: the memory bound of a cache, not of the result.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 #: Words that name numbers and units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
@@ -242,7 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     chars = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    rows = to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     out = None
     for k in range(blocks):
         part = [(r.item_id, bytes(r.text)) for r in items.where(block == k).orderBy("item_id", "text").collect()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, to_python
 
 LANGUAGES = ("de", "en", "es", "fr")
 SYMBOLS = "#*$%&|<>"
@@ -139,7 +139,7 @@ def references(docs: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, np.nda
         columns = zip(*((*k, n) for k, n in sorted(sums.items()))) if sums else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    partial = docs.select(lang.alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, kind string, bin int, n long")
+    partial = to_python(docs).select(lang.alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, kind string, bin int, n long")
     class_refs, word_refs = {}, {}
     found: dict[tuple[str, str], dict[int, int]] = {}
     for r in partial.groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).collect():
@@ -176,7 +176,7 @@ def _judged(docs: DataFrame, refs) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     ddl = f"doc_id long, {COUNTS}, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ddl)
+    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ddl)
 
 
 def verdict(raw: bytes, classes: np.ndarray, class_refs: np.ndarray, word_refs: np.ndarray) -> list:
@@ -203,7 +203,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
         classes = _classes()
         return pd.Series([verdict(t or b"", classes, class_refs, word_refs)[6] for t in texts], dtype=bool)
 
-    return docs.where(passes(F.col("text").cast("binary")))
+    return to_python(docs).where(passes(F.col("text").cast("binary")))
 
 
 def op2_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

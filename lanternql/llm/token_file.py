@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import per_worker, shared_path, table
+from .common import per_worker, shared_path, table, to_python
 
 END = 0
 SEGMENT_IDS = 1 << 20
 STEP = 64
 #: Pieces whose ids a worker keeps: the memory bound of a cache, not of the result.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 
 #: Characters whose classes are spelled out in PIECES; texts with any other go to the library whole, as do
 #: those with the special token, which isn't split at all.
@@ -69,11 +69,17 @@ class Encoder:
         self.by_line = Tokenizer(self.tokenizer.model)
         self.by_line.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.split = re.compile(PIECES).findall
-        self.odd = re.compile(PLAIN).search
+        self.search = re.compile(PLAIN).search
         self.known: dict[str, bytes] = {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.newline = self.tokenizer.encode("\n").ids[0]
 
+    def odd(self, text: str) -> bool:
+        """Does the text hold anything beyond PLAIN?"""
+        if text.isascii():
+            return not text.replace("\n", " ").isprintable() or "<|endoftext|>" in text
+        return self.search(text) is not None
+
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
@@ -206,7 +212,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, segment_ids: int = SE
         if names:
             yield segment()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+    rows = to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h").asc_nulls_first()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     rows.select("doc_id", "text").mapInArrow(run, SEGMENT_DDL).write.parquet(path)
