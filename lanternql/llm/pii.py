@@ -113,24 +113,30 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, ratio): the terms that reveal an entity."""
-    seen = found.select("key", F.explode("named").alias("n")).select("key", F.col("n.entity").alias("entity"), F.col("n.context").alias("context"))
+    extract = lambda c: F.regexp_extract_all(c, F.lit(TERM), F.lit(0))
+    seen = found.select(F.explode("named").alias("n")).select(F.col("n.entity").alias("entity"), F.col("n.context").alias("context"))
     contexts = seen.select("entity", F.xxhash64("context").alias("c"), "context").dropDuplicates(["entity", "c"])
-    per_entity = contexts.groupBy("entity").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    terms = contexts.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = terms.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
-    pairs, _ = materialized(pairs.join(per_entity.withColumnRenamed("entity", "e"), F.col("entity") == F.col("e")).drop("e"), "pairs")
-    if pairs.isEmpty():  # nothing whose frequency the corpus would have to tell
-        return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    n_docs = found.agg(F.countDistinct("key").alias("n")).first().n
-    carriers = seen.groupBy("entity").agg(F.countDistinct("key").alias("n_entity")).withColumnRenamed("entity", "e")
-    wanted = pairs.select(F.col("term").alias("t")).distinct()
-    words = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.lower("text").alias("low"))
-    words = words.select("key", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(TERM), F.lit(0)))).alias("w"))
-    counts = words.join(wanted, F.col("w") == F.col("t"), "left_semi").groupBy("w").agg(F.countDistinct("key").alias("n_term"))
-    rated = pairs.join(carriers, F.col("entity") == F.col("e")).join(counts, F.col("term") == F.col("w"))
+    per_entity = contexts.groupBy(F.col("entity").alias("e")).agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
+    pairs = contexts.select("entity", F.explode(F.array_distinct(extract(F.col("context")))).alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
+    pairs = pairs.where(F.col("together") >= support).join(per_entity, F.col("entity") == F.col("e")).drop("e")
+    carriers = found.select(F.explode(F.array_distinct("named.entity")).alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_entity"))
+    n_docs = found.count()
     known = F.log((F.col("together") / F.col("contexts")) / (F.col("n_term") / F.lit(n_docs)))
     own = -F.log(F.col("n_entity") / F.lit(n_docs))
     ratio = F.when(own > 0, known / own).otherwise(F.lit(0.0))
+    # A term is in at least as many documents as in contexts of any entity.  That bounds its ratio from above, so
+    # everyday words are out before the corpus is asked for the frequency of the rest.
+    nearby = F.array_distinct(F.flatten(F.transform("named.context", extract)))
+    nearby = found.where(F.size("named") > 0).select(F.explode(nearby).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_term"))
+    pairs = pairs.join(carriers, F.col("entity") == F.col("e")).join(nearby, F.col("term") == F.col("t"))
+    pairs, _ = materialized(pairs.where(ratio >= disclosure).select("entity", "term", "together", "contexts", "n_entity"), "pairs")
+    if pairs.isEmpty():  # nothing whose frequency the corpus would have to tell
+        return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
+    # Frequencies are summed before they meet the candidates: the join handles words, not their occurrences.
+    words = docs.select(F.explode(F.array_distinct(extract(F.lower("text")))).alias("w"))
+    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n_term"))
+    rated = pairs.join(counts, F.col("term") == F.col("w"))
     return rated.select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= disclosure)
 
 

@@ -58,8 +58,8 @@ def test_spans(spark):
 
 
 def brute_terms(docs, support=q.SUPPORT, disclosure=q.DISCLOSURE):
-    """(entity, term) pairs by the definition, over distinct texts."""
-    texts = sorted({t or "" for t in docs})
+    """(entity, term) pairs by the definition."""
+    texts = [t or "" for t in docs]
     words = lambda t: set(re.findall(r"[^\W_]{4,}", t.lower()))
     contexts, holders, having = defaultdict(set), defaultdict(set), defaultdict(set)
     for n, t in enumerate(texts):
