@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their DuckDB equivalents."""
 
-from . import classifier, decontaminate, licenses, mixing, pii, quality_rules, rollup, simhash, token_file, url_templates
+from . import classifier, decontaminate, licenses, mixing, oracle, pii, quality_rules, rollup, simhash, token_file, url_templates
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
@@ -16,6 +16,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_divergence_quality": oracle.quality(),
     "op4_mix_to_weights": mixing.OP4_SQL,
+    "op8_pii_disclosure": oracle.personal_data(),
+    "op9_url_templates": oracle.urls(),
     "op10_token_rollup": rollup.OP10_SQL,
 }
