@@ -80,6 +80,10 @@ PAIRS: dict[str, tuple[Callable, str | None]] = {
     "jn7_two_levels": (text("SELECT region { r_name, SELECT nation WHERE n_regionkey = region.r_regionkey { n_name, SELECT supplier WHERE s_nationkey = nation.n_nationkey { s_suppkey } } }", lambda df: exploded("supplier")(exploded("nation")(df))), "SELECT r_name, n_name, s_suppkey FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey"),
     "jn10_nested_over_group": (text("SELECT customer GROUP BY c_nationkey { c_nationkey, n: count(c_custkey), SELECT supplier WHERE s_nationkey = customer.c_nationkey { s_suppkey } }", exploded("supplier")), "SELECT c_nationkey, n, s_suppkey FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) JOIN supplier ON s_nationkey = c_nationkey"),
     "ag1_group": (text("SELECT customer GROUP BY c_mktsegment, c_nationkey { c_mktsegment, c_nationkey, n: count(c_custkey) }"), "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL"),
+    "ag1_high_cardinality": (text("SELECT lineitem GROUP BY l_orderkey { l_orderkey, n: count(l_linenumber), parts: sum(l_partkey), top: max(l_quantity) }"), "SELECT l_orderkey, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, max(l_quantity) AS top FROM lineitem GROUP BY l_orderkey"),
+    "ag9_flat_avg": (text("SELECT orders { mean: avg(o_custkey), n: count(o_orderkey) }"), "SELECT sum(o_custkey)::DOUBLE / count(*) AS mean, count(*) AS n FROM orders"),
+    "fl2_point_lookup": (text("SELECT lineitem WHERE l_orderkey = 42 AND l_linenumber = 1 LIMIT 1 { l_orderkey, l_linenumber, l_quantity }"), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 42 AND l_linenumber = 1 LIMIT 1"),
+    "ag21_exact_ratio": (text("SELECT orders GROUP BY o_orderstatus { o_orderstatus, share: sum(o_custkey) / count(o_orderkey) ** 2 }"), "SELECT o_orderstatus, sum(o_custkey)::DOUBLE / (count(*) * count(*)) AS share FROM orders GROUP BY o_orderstatus"),
     "ag2_whole": (text("SELECT lineitem WHERE l_quantity > 1000 { n: count(l_orderkey), top: max(l_quantity) }"), "SELECT count(*) AS n, max(l_quantity) AS top FROM lineitem WHERE l_quantity > 1000"),
     "ag3_representative": (text("SELECT nation GROUP BY n_regionkey { n_regionkey, n_name }"), "SELECT n_regionkey, arg_min(n_name, n_nationkey) AS n_name FROM nation GROUP BY n_regionkey"),
     "ag4_rollup": (text("SELECT orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority) { o_orderstatus, o_orderpriority, n: count(o_orderkey) }"), "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)"),
