@@ -19,8 +19,8 @@ def plain(x):
 
 
 def reason(e: Exception) -> str:
-    """What a query's own checks raised on an executor, or the first line."""
-    m = re.search(r"\[USER_RAISED_EXCEPTION\] (.*?) SQLSTATE", str(e))
+    """What was raised on an executor, by a query's own checks or by Spark, or the first line."""
+    m = re.search(r"\[USER_RAISED_EXCEPTION\] (.*?) SQLSTATE", str(e)) or re.search(r"(\[[A-Z_]+(?:\.[A-Z_]+)*\] .*?)(?: SQLSTATE|\n|$)", str(e))
     return m[1] if m else str(e).split("\n")[0]
 
 
