@@ -27,12 +27,14 @@ class Engine:
 
     ``strict_nulls``: a null in an ordinary comparison or an aggregate is an error, as against SQL's unknown.
     ``exact_output``: how quotients come out: ``double``, ``string`` (``n/d``) or ``struct``.
+    ``preserve_order``: rows without ORDER BY come in source order, groups by their first row, at the price of a
+    sort; set operations have no order either way.
     """
 
-    def __init__(self, catalog: Catalog, strict_nulls: bool = True, exact_output: str = "double", functions: Functions | None = None, extensions: Extensions | None = None):
+    def __init__(self, catalog: Catalog, strict_nulls: bool = True, exact_output: str = "double", functions: Functions | None = None, extensions: Extensions | None = None, preserve_order: bool = False):
         self.catalog, self.strict, self.exact = catalog, strict_nulls, exact_output
         self.functions = functions or Functions()
-        self.extensions = extensions
+        self.extensions, self.ordered = extensions, preserve_order
 
     def plan(self, query):
         if isinstance(query, str):
@@ -42,7 +44,7 @@ class Engine:
     def run(self, query, params: dict | None = None, time_field: tuple[str, ...] | None = None) -> DataFrame:
         """A text, a builder or a plan as a DataFrame; nothing but recursive bindings runs yet."""
         plan = self.plan(query)
-        options = Options(params or {}, self.strict, self.exact, self.functions)
+        options = Options(params or {}, self.strict, self.exact, self.ordered, self.functions)
         try:
             return Lowering(self.catalog, options, plan.withs, time_field, plan.types).run(plan)
         except PySparkException as e:

@@ -48,6 +48,7 @@ class Options:
     params: dict = field(default_factory=dict)
     strict: bool = True
     exact: str = "double"
+    ordered: bool = False
     functions: Functions = field(default_factory=Functions)
 
 

@@ -189,7 +189,7 @@ class Lowering:
             if i.where is not None:
                 raise QueryError("body_item_where_requires_aggregate", i.alias)
         windows = any(has_window(i.expr) for i in plain)
-        row = listed or windows or bool(q.order_by) or (q.distinct and (q.limit is not None or q.offset is not None))
+        row = listed or windows or bool(q.order_by) or self.options.ordered or (q.distinct and (q.limit is not None or q.offset is not None))
         if row:
             df = self.numbered(df)
         if windows:
@@ -220,7 +220,7 @@ class Lowering:
             v = scope.field(path)
             group_cols.append((f"__g{n}", V.output(v)))
             blanked[path] = f"__g{n}"
-        first = bool(windows) or listed or q.distinct or bool(q.order_by)
+        first = bool(windows) or listed or q.distinct or bool(q.order_by) or self.options.ordered
         aggs, names = [], []
         for i in plain:
             if i in windows:
@@ -384,7 +384,7 @@ class Lowering:
                 df = df.where(F.col(POSITION) > low)
                 df = df.where(F.col(POSITION) <= low + q.limit) if q.limit is not None else df
         elif early:
-            df = df.orderBy(*order, *ties) if order else df
-        elif order or limited:
-            df = top(df, [*order, *ties] if order or (row and q.distinct) else [])
+            df = df.orderBy(*order, *ties) if order or self.options.ordered else df
+        elif order or limited or self.options.ordered:
+            df = top(df, [*order, *ties] if order or self.options.ordered or (row and q.distinct) else [])
         return df.select(*own, *([F.col(POSITION)] if listed else [])), names

@@ -254,6 +254,14 @@ def test_nested(run):
         run("SELECT customers { id, SELECT orders { id, SELECT items WHERE id = customers.id { sku } } }")
 
 
+def test_source_order(run):
+    ordered = lambda text: run(text, preserve_order=True)
+    assert col(ordered("SELECT customers { name, SELECT orders WHERE customer_id = customers.id { id } }"), "name") == ["Ann", "Bob", "Cy"]
+    assert col(ordered("SELECT requests GROUP BY service, status { service, status }"), "status") == [200, 500, 200, 503, 500]
+    assert col(ordered("SELECT accounts DISTINCT { tier }"), "tier") == ["b", "a"]
+    assert col(ordered("SELECT customers LIMIT 2 OFFSET 1 { name, SELECT orders WHERE customer_id = customers.id { id } }"), "name") == ["Bob", "Cy"]
+
+
 def test_nested_null_link(run):
     with pytest.raises(QueryError, match="nil value"):
         run("SELECT org_chart { SELECT customers WHERE id = org_chart.manager_id { name } }")
