@@ -2,13 +2,13 @@
 
 Texts become sequences of tokens: words in lower case without the punctuation around them.  In the
 template form numbers, units and names (capitalised words inside a sentence) turn into typed
-placeholders.  Windows of five template tokens are hashed; documents' windows meet the benchmark's by
-hash.  A document holds an item if at least 0.8 of the item's windows, each counted once, stand in one
+placeholders.  Windows of five template tokens are hashed, and those with placeholders a second time by
+their words; documents' windows meet the benchmark's by hash.  A document holds an item if at least 0.8 of the item's windows, each counted once, stand in one
 stretch of it no longer than the item times ``STRETCH``, and if either at least 0.8 of them agree word
 for word, or the slots are consistent: the values in the item's slots map to the document's values as a
 function, but for 0.2 of the slots.  So copies and re-parameterised questions are caught, while texts that
-merely share a pattern of placeholders are not; windows with fewer than ``MIN_LITERALS`` plain words are no
-evidence and are left out.
+merely share a pattern of placeholders are not; windows with fewer than ``MIN_LITERALS`` plain words only
+count by their words.
 
 The benchmark is the small side.  Its size is measured first; up to ``BLOCK_CHARS`` characters go to the
 executors at once, and a larger benchmark goes in as many blocks of items as that takes, each held against
@@ -49,7 +49,7 @@ NUMBER = re.compile(r"[+-]?[$€£¥]?\d+(?:[.,:/]\d+)*%?")
 QUANTITY = re.compile(r"\d+(?:[.,]\d+)*([a-z]+)")
 
 _NUM, _UNIT, _NAME, _QUANTITY = "\x00num", "\x00unit", "\x00name", "\x00quantity"
-_NUMPY_SEED = 0x9E3779B97F4A7C15
+_FACTOR = 0x9E3779B97F4A7C15
 
 PAIR = "doc_id long, item_id long, windows int, coverage double, literal_coverage double, slot_consistency double, first_token int, last_token int"
 
@@ -139,18 +139,26 @@ class Canon:
         return doc, lambda where: literals[at[where]], template, slot
 
 
-def windows(doc: np.ndarray, template: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the window that starts at each token, is it evidence): windows that run over the end of a
-    document or have too few plain words are none."""
+def _mixed(parts) -> np.ndarray:
+    """Hash of the windows whose j-th tokens are the j-th of ``parts``."""
+    h = None
+    for part in parts:
+        h = part.copy() if h is None else h * np.uint64(_FACTOR) + part
+    return h ^ (h >> np.uint64(29))
+
+
+def windows(doc: np.ndarray, template: np.ndarray, slot: np.ndarray, literal) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, starts of all windows): each window by its template, if that has plain words enough, and
+    one with slots by its words too, so that copies are found whatever became of capital letters."""
     n = max(0, doc.size - WINDOW + 1)
-    h = template[:n].copy()
-    for j in range(1, WINDOW):
-        h *= np.uint64(_NUMPY_SEED)
-        h += template[j : j + n]
-    h ^= h >> np.uint64(29)
+    inside = doc[:n] == doc[WINDOW - 1 : WINDOW - 1 + n]
     slots = sum((slot[j : j + n].view(np.uint8) for j in range(1, WINDOW)), slot[:n].view(np.uint8))
-    good = (doc[:n] == doc[WINDOW - 1 : WINDOW - 1 + n]) & (slots <= WINDOW - MIN_LITERALS)
-    return h, good
+    h = _mixed(template[j : j + n] for j in range(WINDOW))
+    starts = np.flatnonzero(inside)
+    by_template = np.flatnonzero(inside & (slots <= WINDOW - MIN_LITERALS))
+    by_words = np.flatnonzero(inside & (slots > 0))
+    worded = _mixed(literal(by_words + j) for j in range(WINDOW))
+    return np.concatenate((by_template, by_words)), np.concatenate((h[by_template], worded)), starts
 
 
 class Benchmark:
@@ -159,29 +167,28 @@ class Benchmark:
     def __init__(self, items: list[tuple[int | None, bytes]], canon: Canon):
         doc, literal, template, self.slot = canon([t for _, t in items])
         self.literal = literal(np.arange(doc.size))
-        h, good = windows(doc, template, self.slot)
+        at, h, starts = windows(doc, template, self.slot, literal)
         self.ids = [i for i, _ in items]
         self.starts = np.searchsorted(doc, np.arange(len(items) + 1))
-        at = np.flatnonzero(good)
-        order = np.argsort(h[at], kind="stable")
-        self.at, self.hashes, self.item = at[order], h[at][order], doc[at][order]
-        self.needed = np.bincount(doc[at], minlength=len(items))
+        order = np.argsort(h, kind="stable")
+        self.at, self.hashes, self.item = at[order], h[order], doc[at][order]
+        self.needed = np.bincount(doc[starts], minlength=len(items))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def __call__(self, ids: list, texts: list[bytes], canon: Canon) -> list[tuple]:
         doc, literal, template, slot = canon(texts)
-        h, good = windows(doc, template, slot)
-        hit = np.flatnonzero(good & self.seen[(h >> np.uint64(44)).astype(np.int64)])
+        at, h, _ = windows(doc, template, slot, literal)
+        hit = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hashes, h[hit], "left"), np.searchsorted(self.hashes, h[hit], "right")
         hit, lo, hi = (x[hi > lo] for x in (hit, lo, hi))
-        found = defaultdict(list)
-        for p, a, z in zip(hit.tolist(), lo.tolist(), hi.tolist()):
+        found = defaultdict(set)
+        for p, a, z in zip(at[hit].tolist(), lo.tolist(), hi.tolist()):
             for k in range(a, z):
-                found[int(doc[p]), int(self.item[k])].append((p, int(self.at[k])))
+                found[int(doc[p]), int(self.item[k])].add((p, int(self.at[k])))
         out = []
         for (d, i), pairs in sorted(found.items()):
-            if len({q for _, q in pairs}) >= COVERAGE * self.needed[i] and (row := self.best(pairs, i, literal, slot)):
+            if len({q for _, q in pairs}) >= COVERAGE * self.needed[i] and (row := self.best(sorted(pairs), i, literal, slot)):
                 start = int(np.searchsorted(doc, d))
                 out.append((ids[d], self.ids[i], int(self.needed[i]), *row[:3], row[3] - start, row[4] - start))
         return out

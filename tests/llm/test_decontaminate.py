@@ -68,6 +68,15 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in q.find_leaks(docs, b).collect()] == [1]
 
 
+def test_copies_in_other_letter_case(spark):
+    names = "In May Alice Brown and Carol Davis took Emma Frank to Great Hill while George Hall stayed at Iron Lake near Jones Kirk"
+    b = items(spark, [(1, names, "x"), (2, names.title() + " Long Meadow", "x")])
+    texts = [names.upper(), names.lower(), names.title(), "so " + names + " indeed"]
+    docs = cases.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(9, cases.prose(random.Random(1), 90), "en", "s", 0)])
+    got = q.find_leaks(docs, b).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, n) for i in range(4) for n in (1, 2)]
+
+
 def test_scattered_windows_are_no_leak(spark):
     text = bench()[2][1].split()
     rng = random.Random(3)
