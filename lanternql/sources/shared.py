@@ -25,8 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def application_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/lanternql-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must be done."""
+    discard(spark, application_dir(spark))
 
 
 def materialized(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -291,6 +291,15 @@ def test_recursion(run):
         run("WITH RECURSIVE r = SELECT edges { id } SELECT r { id }")
 
 
+def test_shared_storage(spark):
+    from lanternql.sources import shared
+
+    df, path = shared.materialized(spark.range(5), "test")
+    assert df.count() == 5 and shared.exists(spark, path) and path.startswith(shared.application_dir(spark))
+    shared.discard(spark, path)
+    assert not shared.exists(spark, path)
+
+
 def test_declared_types_push_filters(spark):
     e = Engine(catalog(spark))
     plan = lambda q: e.run(q)._jdf.queryExecution().optimizedPlan().toString()
