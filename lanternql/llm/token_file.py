@@ -9,7 +9,7 @@ A file set is a table of segments, each a run of documents in ascending doc_id o
 ``low, high, marks``  the ends of its documents in ``ids`` as an Elias-Fano sequence: the low bits packed,
             the high parts in unary, and the position of every 64th one in it, from which ``select``
             finds any boundary without a table of 64-bit offsets
-``names``   the doc_ids, as differences
+``names``   the doc_ids
 
 Segments are rows of a Parquet table, so any store that Spark writes to will do, tasks that are lost are
 run again, and a job's output shows only when it is committed.  ``export`` writes plain files instead.
