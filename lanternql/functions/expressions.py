@@ -236,9 +236,7 @@ class Scope:
             return Value(V.as_double(v), "float", v.nonnull, type=T.DoubleType())
         if name == "exact":
             if v.kind == "float":
-                # A double's shortest decimal; values beyond 38 digits are an error.
-                t = T.DecimalType(38, 17)
-                return Value(v.col.cast(t), "dec", v.nonnull, type=t)
+                return Value(None, "exact", v.nonnull, V.binary_fraction(v.col.cast("double")))
             if v.kind not in V.NUMBERS:
                 raise fail()
             return v
@@ -265,6 +263,8 @@ class Scope:
                 col = F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
                 col = F.regexp_replace(F.regexp_replace(col, r"0+$", ""), r"\.$", "")
                 col = F.concat(col, F.lit("Z")) if v.kind == "utc" else col
+            elif v.kind == "float":
+                col = V.float_text(v.col.cast("double"))
             else:
                 col = v.col.cast("string")
             return Value(F.coalesce(col, F.lit("nil")), "string", True, type=T.StringType())

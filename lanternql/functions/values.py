@@ -121,6 +121,26 @@ def reduced(pair: tuple[Column, Column]) -> tuple[Column, Column]:
     return (n / g).cast(WIDE), (d / g).cast(WIDE)
 
 
+def binary_fraction(x: Column) -> tuple[Column, Column]:
+    """The very value of a double as a reduced fraction, to 60 binary places; magnitudes from 2^63 on are an error.
+
+    The whole part and the rest times 2^60 are whole doubles, so both convert without rounding.
+    """
+    high = F.floor(x)
+    low = ((x - high) * F.lit(2.0**60)).cast("long")
+    step = F.when(low == 0, F.lit(1 << 60)).otherwise(low.bitwiseAND(-low))
+    whole = F.lit(Decimal(1 << 60)).cast(T.DecimalType(19, 0))
+    n = (high.cast("long").cast(T.DecimalType(19, 0)) * whole).cast(WIDE) + low.cast(WIDE)
+    return ((n / step.cast(WIDE)).cast(WIDE), (whole.cast(WIDE) / step.cast(WIDE)).cast(WIDE))
+
+
+def float_text(x: Column) -> Column:
+    """The shortest digits that give the double back, without an exponent below 10^16."""
+    plain = F.regexp_replace(F.regexp_replace(x.cast("string").cast("decimal(38,15)").cast("string"), "0+$", ""), r"\.$", ".0")
+    large = (F.abs(x) >= 1e7) & (F.abs(x) < 1e16)
+    return F.when(large, plain).otherwise(F.lower(x.cast("string")))
+
+
 def as_text(v: Value) -> Column:
     """``n/d``, or ``n`` for whole numbers."""
     n, d = reduced(v.pair)

@@ -103,6 +103,19 @@ def test_casts(run):
             run(f"SELECT users {{ {text} }}")
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(2**-8, 1e15).map(lambda x: x if x % 2 > 1 else -x), min_size=1, max_size=6))
+def test_doubles_become_exact(spark, xs):
+    e = Engine(catalog(spark).register("f", spark.createDataFrame(list(enumerate(xs)), "i long, x double")), exact_output="string")
+    got = e.rows("SELECT f ORDER BY i { e: exact(x), s: string(x) }").to_list()
+    assert [Fraction(r["e"]) for r in got] == [Fraction(x) for x in xs]
+    assert [float(r["s"]) for r in got] == xs
+
+
+def test_float_texts(run):
+    assert run("SELECT users WHERE age = 17 { a: string(inexact(123456789)), b: string(inexact(1/4)), c: string(inexact(10) ** 20) }") == [{"a": "123456789.0", "b": "0.25", "c": "1.0e20"}]
+
+
 def test_json(run):
     assert run("SELECT tickets WHERE json(metadata).color = 'red' { id, k: json(metadata).n.k, gone: json(metadata).none }") == [{"id": 1, "k": "3", "gone": None}]
     assert col(run("SELECT tickets WHERE 'c' in json(metadata).tags { id }"), "id") == [2]
