@@ -67,3 +67,17 @@ def test_nothing_else_imports_llm():
                 if isinstance(node, ast.Import | ast.ImportFrom):
                     found = [a.name for a in node.names] + [getattr(node, "module", None) or ""]
                     assert not any("llm" in f.split(".") for f in found), p
+
+
+def test_empty_tables(spark, tmp_path):
+    tables = {
+        "documents": cases.SCHEMA,
+        "labels": "doc_id long, quality int, toxic int",
+        "benchmark": "item_id long, text string",
+        "pages": "page_id long, url string, html string",
+    }
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    queries = entry.queries()
+    for name in [n for n in queries if n.startswith("op") or n == "pipeline"]:
+        assert queries[name](spark, str(tmp_path)).collect() == [], name
