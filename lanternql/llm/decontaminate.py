@@ -23,6 +23,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from itertools import chain
 
@@ -253,17 +254,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(blocks):
         part = [(r.item_id, bytes(r.text)) for r in items.where(block == k).orderBy("item_id", "text").collect()]
-        found = rows.mapInArrow(_finder(part), PAIR)
+        found = rows.mapInArrow(_finder(docs.sparkSession, part), PAIR)
         out = found if out is None else out.union(found)
     return out
 
 
-def _finder(items: list[tuple[int | None, bytes]]):
+def _finder(spark: SparkSession, items: list[tuple[int | None, bytes]]):
+    """The search for one block of items, which goes to each executor once and is indexed once a worker."""
+    sent = spark.sparkContext.broadcast(items)
+    name = zlib.crc32(repr(items).encode())
     schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in PAIR.split(", ")])
 
     def run(batches):
-        canon = per_worker(("canon",), Canon)
-        known = Benchmark(items, canon)
+        def ready():
+            canon = Canon()
+            return canon, Benchmark(sent.value, canon)
+
+        canon, known = per_worker(("decontaminate", name), ready)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows = []
