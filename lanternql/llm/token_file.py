@@ -38,7 +38,7 @@ END = 0
 SEGMENT_IDS = 1 << 20
 STEP = 64
 #: Pieces whose ids a worker keeps: the memory bound of a cache, not of the result.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 
 #: Characters whose classes are spelled out in PIECES; texts with any other go to the library whole, as do
 #: those with the special token, which isn't split at all.
@@ -48,6 +48,17 @@ _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 PIECES = rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 
 
+def _byte_names() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves,
+    the others in order from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_NAMES = _byte_names()
+
+
 class Encoder:
     """Encodes texts with a tokenizer file; pieces seen before are looked up.
 
@@ -62,12 +73,12 @@ class Encoder:
         import re
 
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same model, for lines that are one piece each.
+        #: The same model, for lines that are one piece each, bytes named already.
         self.by_line = Tokenizer(self.tokenizer.model)
-        self.by_line.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.by_line.pre_tokenizer = Split(_BYTE_NAMES[ord("\n")], "isolated")
         self.split = re.compile(PIECES).findall
         self.search = re.compile(PLAIN).search
         self.known: dict[str, bytes] = {}
@@ -86,15 +97,17 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         size = int(self.kind[2])
-        blank = {p for p in pieces if p.isspace()}
-        self.known.update(zip(blank, self.whole(list(blank))))
-        lines = list(pieces - blank)
-        for at in range(0, len(lines), 4096):
-            some = lines[at : at + 4096]
-            ids = np.array(self.by_line.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
+        blank = [p for p in pieces if p.isspace()]
+        self.known.update(zip(blank, self.whole(blank)))
+        lines = [p for p in pieces if not p.isspace()]
+        for at in range(0, len(lines), 1024):
+            some = lines[at : at + 1024]
+            ids = np.array(self.by_line.encode_batch_fast(["\n".join(some).encode().decode("latin-1").translate(_BYTE_NAMES)], add_special_tokens=False)[0].ids, self.kind)
             raw, stops = ids.tobytes(), (np.append(np.flatnonzero(ids == self.newline), ids.size) * size).tolist()
-            starts = [0, *(z + size for z in stops[:-1])]
-            self.known.update(zip(some, [raw[a:z] for a, z in zip(starts, stops)], strict=True))
+            start = 0
+            for p, stop in zip(some, stops, strict=True):
+                self.known[p] = raw[start:stop]
+                start = stop + size
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes, as the library gives them for the whole text."""
@@ -232,7 +245,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ids = np.frombuffer(r["ids"], f"<u{r['bytes_per_id']}")
                 ends = Boundaries(r["n_docs"], r["width"], r["low"], r["high"], r["marks"]).all()
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                crc = [zlib.crc32(ids[a:z].astype("<u4").tobytes()) for a, z in zip(starts.tolist(), ends.tolist())]
+                wide = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(wide[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r["names"], pa.int64()), pa.array(starts + r["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
