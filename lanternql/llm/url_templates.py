@@ -2,8 +2,10 @@
 
 Paths are split into segments.  Numbers, hexadecimal strings, dates and other mixtures with digits become
 typed wildcards at once, file extensions kept.  Then each host's tree is generalised level by level from
-the root: literal segments that are rare among their siblings, or too many, become ``{*}``; siblings whose
-labelled rates don't differ significantly from those of all their siblings are one branch, ``{+}``.  A
+the root: literal segments that are rare among their siblings, and whose labels don't tell them from these,
+become ``{*}``; siblings whose labelled rates don't differ significantly from those of all their siblings are
+one branch, ``{+}``.  Rare segments have few labels, so they are told apart by Chernoff's bound, which holds
+for any number of labels, at a level shared out among the siblings.  A
 template's purity is its share of bad labels, smoothed by ``PRIOR`` pages at the corpus' own rate; urls of
 templates with a purity of ``REJECT`` or more are blocked, all others allowed.
 
@@ -36,6 +38,7 @@ MAX_RULES = 2000
 
 MAX_DEPTH = 6
 MIN_SHARE = 0.02
+#: Bound of the DuckDB equivalent, which pools all literals of a node beyond it; the tree has no such bound.
 MAX_LITERALS = 32
 Z = 1.96
 PRIOR = 10
@@ -83,6 +86,16 @@ def typed_segments(path: Column) -> Column:
     return F.when(path.isin("", "/"), F.array().cast("array<string>")).otherwise(F.transform(parts, typed))
 
 
+def _told_apart() -> Column:
+    """Whether a branch's labels are too unlikely at the rate of all literal siblings: by Chernoff, ``bad`` of ``labelled``
+    have a probability of at most exp(-labelled * KL(bad / labelled, p))."""
+    n, bad = F.col("labelled"), F.col("bad")
+    p = F.try_divide(F.col("literal_bad").cast("double"), F.col("literal_labelled").cast("double"))
+    part = lambda k, q: F.when(k > 0, k * F.log(k / n / q)).otherwise(F.lit(0.0))
+    far = part(bad, p) + part(n - bad, 1 - p) > F.lit(Z * Z / 2) + F.log(F.col("literals"))
+    return F.coalesce((n > 0) & (p > 0) & (p < 1) & far, F.lit(False))
+
+
 def templates(stats: DataFrame) -> DataFrame:
     """``stats``: (host, segs, n, labelled, bad), one row each host and typed path -> (host, segs, template)."""
     spark = stats.sparkSession
@@ -93,10 +106,11 @@ def templates(stats: DataFrame) -> DataFrame:
         child = tree.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg"))
         child = child.agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]).withColumn("literal", ~F.col("seg").startswith("{"))
         node = child.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(
-            F.sum("n").alias("all_n"), F.sum(F.col("literal").cast("long")).alias("literals")
+            F.sum("n").alias("all_n"), F.sum(F.col("literal").cast("long")).alias("literals"),
+            *[F.sum(F.when(F.col("literal"), F.col(c)).otherwise(0)).alias(f"literal_{c}") for c in ("labelled", "bad")],
         )
         same = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))
-        rare = F.col("literal") & ((F.col("n") < F.col("all_n") * F.lit(MIN_SHARE)) | (F.col("literals") > MAX_LITERALS))
+        rare = F.col("literal") & (F.col("n") < F.col("all_n") * F.lit(MIN_SHARE)) & ~_told_apart()
         child = child.join(node, same).select("host", "template", "seg", "labelled", "bad", "literal", rare.alias("rare"))
         common = F.col("literal") & ~F.col("rare")
         pooled = child.where(common).groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(

@@ -137,3 +137,26 @@ def test_empty(spark):
 def test_too_many_rules(spark):
     with pytest.raises(ValueError):
         q.rule_for(q.F.col("host"), q.F.col("path"), [("block", f"h{i}", "/") for i in range(3000)])
+
+
+def branchy(slugs, small=0):
+    """A host half /casino/, all bad, and half /news/, clean, with one-off slugs and a small bad branch."""
+    urls = [f"http://big.net/{kind}/{i}" for i in range(300) for kind in ("casino", "news")]
+    urls += [f"http://big.net/slug{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}/{i}" for i in range(slugs)]
+    urls += [f"http://big.net/pills/{i}" for i in range(small)]
+    rows = [(i, u, "", "x") for i, u in enumerate(urls)]
+    return rows, [(i, "/casino/" in u or "/pills/" in u) for i, u, _, _ in rows]
+
+
+@pytest.mark.parametrize("slugs", [30, 31, 200])
+def test_branches_keep_their_templates_whatever_their_number(spark, slugs):
+    rows, marks = branchy(slugs, small=12)
+    got = judged(spark, rows, marks).collect()
+    blocked = {r.template for r in got if r.verdict == "block"}
+    assert blocked == {"big.net/casino/{n}", "big.net/pills/{n}"}
+    assert {r.template for r in got if "/slug" in r.path} == {"big.net/{*}/{n}"}
+
+
+def test_a_rare_branch_with_few_labels_is_pooled(spark):
+    rows, marks = branchy(200, small=1)
+    assert "big.net/{*}/{n}" in {r.template for r in judged(spark, rows, marks).collect() if "/pills/" in r.path}
