@@ -1,13 +1,13 @@
 """Licence scan: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Text is normalised to lower-case words (letters, digits, inner dots), so case, punctuation, line breaks and
-comment marks don't count.  A candidate is a line or a run of lines; its bigrams (as multisets) and a
+comment marks don't count.  A candidate is a run of words, wherever it stands; its bigrams (as multisets) and a
 template's give 2 * common / (both sizes).  Since common is at most the smaller size, a candidate can only
-reach the threshold t if ``smaller / larger >= t / (2 - t)``: templates outside these bounds are never
-compared, and lines that share no bigram with any template never become candidates.
+reach the threshold t if ``smaller / larger >= t / (2 - t)``.
 
-Runs: for every line that shares a bigram with a template, lines are added until the run is too large for
-that template; the best run counts.  Documents are scanned whole.
+Runs: a best run begins and ends with bigrams of the template, as others at its ends only lower the coefficient.
+From every such bigram on the run grows until it is too large; beginnings after which too few of the template's
+bigrams follow within the largest size can't reach the threshold and are passed over.  Documents are scanned whole.
 
 Defined results: a null or word-less text has no licence; one row comes back for every row given, so
 repeated rows repeat; among equal coefficients the smaller licence name wins; extra columns are ignored;
@@ -16,8 +16,10 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 }
 
-_WORDS = re.compile(r"[^\W_]+(?:\.[^\W_]+)*").findall
+_WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+_WORDS = _WORD.findall
 
 
 def normalized(text: str) -> list[str]:
@@ -89,57 +92,64 @@ class Scanner:
                     self.templates.append((name, grams, size, size * ratio, size / ratio))
         self.grams = self.by_bigram.keys()
 
-    def best_run(self, sizes, near, first: int, t: int) -> tuple[float, int]:
-        """The best coefficient of a run of lines from ``first`` on with template t, and its last line.
+    def best_run(self, grams, hits, at: int, t: int) -> tuple[float, int]:
+        """The best coefficient of a run from ``hits[at]`` on with template t, and its last bigram.
 
-        ``near(i, last)``: the bigrams that line i adds to a run from ``first``.
+        ``hits``: the places in ``grams``, ascending, of bigrams of the template.
         """
-        name, grams, size, least, most = self.templates[t]
-        total = common = 0
-        left = dict(grams)
+        _, own, size, least, most = self.templates[t]
+        first = hits[at]
+        common = 0
+        left = dict(own)
         best = (0.0, first)
-        for i in range(first, len(sizes)):
-            added = near(i, i == first)
-            total += len(added)
+        for k in range(at, len(hits)):
+            last = hits[k]
+            total = last - first + 1
             if total > most:
                 break
-            for g in added:
-                if left.get(g, 0) > 0:
-                    left[g] -= 1
-                    common += 1
-            if total >= least:
-                best = max(best, (2 * common / (total + size), i), key=lambda b: (b[0], -b[1]))
+            g = grams[last]
+            if left[g] > 0:
+                left[g] -= 1
+                common += 1
+                if total >= least and 2 * common / (total + size) > best[0]:
+                    best = (2 * common / (total + size), last)
         return best
 
     def __call__(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, first line, last line) for each licence found, best run each.
 
-        A run that shares a line with a better one of another licence is that licence's, not its own.
+        A run that shares a word with a better one of another licence is that licence's, not its own.
         """
-        lines = text.split("\n")
-        words = [normalized(x) for x in lines]
+        text = text.lower()
+        words = _WORDS(text)
+        grams = list(zip(words, words[1:]))
+        shared = self.grams & set(grams)
+        places: dict[int, list[int]] = defaultdict(list)
+        for p, g in enumerate(grams) if shared else ():
+            if g in shared:
+                for t in self.by_bigram[g]:
+                    places[t].append(p)
         runs: set[tuple[float, str, int, int]] = set()
-
-        def near(i: int, first: bool):
-            before = [] if first else next((w[-1:] for w in reversed(words[:i]) if w), [])
-            row = before + words[i]
-            return list(zip(row, row[1:]))
-
-        for i, w in enumerate(words):
-            shared = self.grams & set(zip(w, w[1:]))
-            if not shared:
-                continue
-            for t in sorted({t for g in shared for t in self.by_bigram[g]}):
-                name = self.templates[t][0]
-                score, last = self.best_run(words, near, i, t)
-                if score >= self.threshold:
-                    runs.add((-score, name, i, last))
+        for t, hits in places.items():
+            name, _, _, least, most = self.templates[t]
+            more = math.ceil(least - 1e-9) - 1  # common is at least ``least`` in a run that reaches the threshold
+            for at in range(len(hits) - more):
+                if hits[at + more] - hits[at] + 1 <= most:
+                    score, last = self.best_run(grams, hits, at, t)
+                    if score >= self.threshold:
+                        runs.add((-score, name, hits[at], last))
+        if not runs:
+            return []
+        starts = [m.start() for m in _WORD.finditer(text)]
+        breaks = [i for i, c in enumerate(text) if c == "\n"]
+        line = lambda w: bisect_right(breaks, starts[w])
         taken: set[int] = set()
         found: dict[str, tuple[str, float, int, int]] = {}
         for score, name, first, last in sorted(runs):
-            if taken.isdisjoint(range(first, last + 1)):
-                taken.update(range(first, last + 1))
-                found.setdefault(name, (name, -score, first, last))
+            here = range(first, last + 2)  # a bigram's second word is the run's too
+            if taken.isdisjoint(here):
+                taken.update(here)
+                found.setdefault(name, (name, -score, line(first), line(last + 1)))
         return list(found.values())
 
 

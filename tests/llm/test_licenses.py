@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -78,3 +79,42 @@ def test_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     for r in q.op3_license_dice(spark, d).collect():
         assert (r.license is not None) == any(f in texts[r.doc_id] for f in ("MIT License", "Apache License", "General Public", "CC BY"))
+
+
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("The library reads tables and writes them again. This project is licensed under the MIT License. Please open an issue for questions.", "MIT"),
+        ("some words before " + MIT + " and many words that follow it " * 40, "MIT"),
+        ("intro text\n" + "\n".join(q.TEMPLATES["Apache-2.0"][1].split()) + "\nthe end", "Apache-2.0"),
+    ],
+)
+def test_notices_within_lines(text, name):
+    got = q.Scanner()(text)
+    assert [r[0] for r in got] == [name] and got[0][1] == pytest.approx(1)
+
+
+def brute_words(text):
+    """The best coefficient of every licence over all runs of words."""
+    words, out = q.normalized(text), {}
+    for name, templates in q.TEMPLATES.items():
+        for t in templates:
+            grams = q.bigrams(q.normalized(t))
+            for a in range(len(words)):
+                own = Counter()
+                for z in range(a + 1, len(words)):
+                    own[words[z - 1], words[z]] += 1
+                    score = 2 * sum((own & grams).values()) / (z - a + sum(grams.values()))
+                    if score >= q.THRESHOLD:
+                        out[name] = max(out.get(name, 0), score)
+    return out
+
+
+def test_word_runs_against_brute_force():
+    rng = random.Random(4)
+    short = [t for ts in q.TEMPLATES.values() for t in ts if len(t.split()) < 15]
+    for _ in range(12):
+        parts = [w for t in rng.sample(short, 2) for w in [*"some of the words".split(), *t.split()]]
+        text = " ".join(w for w in parts if rng.random() > 0.1)
+        got, want = {r[0]: r[1] for r in q.Scanner()(text)}, brute_words(text)
+        assert set(got) <= set(want) and max(got.values(), default=0) == pytest.approx(max(want.values(), default=0))
