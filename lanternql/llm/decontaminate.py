@@ -3,10 +3,11 @@
 Texts become sequences of tokens: words in lower case without the punctuation around them.  In the
 template form numbers, units and names (capitalised words inside a sentence) turn into typed
 placeholders.  Windows of five template tokens are hashed, and those with placeholders a second time by
-their words; documents' windows meet the benchmark's by hash.  A document holds an item if at least 0.8 of the item's windows, each counted once, stand in one
+their words; a capitalised word that begins a sentence may be a name or not, so windows with such words are
+hashed in both forms.  Documents' windows meet the benchmark's by hash.  A document holds an item if at least 0.8 of the item's windows, each counted once, stand in one
 stretch of it no longer than the item times ``STRETCH``, and if either at least 0.8 of them agree word
 for word, or the slots are consistent: the values in the item's slots map to the document's values as a
-function, but for 0.2 of the slots.  So copies and re-parameterised questions are caught, while texts that
+function, but for 0.2 of the slots; a word that begins a sentence is a slot only where it differs.  So copies and re-parameterised questions are caught, while texts that
 merely share a pattern of placeholders are not; windows with fewer than ``MIN_LITERALS`` plain words only
 count by their words.
 
@@ -114,7 +115,8 @@ class Canon:
             column[start:stop] = values
 
     def __call__(self, texts: list[bytes]):
-        """(document of each token, literal hash by positions, template hashes, is a slot) over all texts."""
+        """(document of each token, literal hash by positions, template hashes, is a slot, may be a name at the
+        start of a sentence) over all texts."""
         words: list[list[bytes]] = [t.split() for t in texts]
         here = set().union(*words)
         new = here.difference(self.index)
@@ -133,11 +135,12 @@ class Canon:
         name = inside & (flags & CAPITAL != 0)
         template[name] = self.name
         slot = name | (flags & SLOT != 0)
+        opening = ~inside & (flags & CAPITAL != 0)
         if (flags & DROPPED).any():
             keep = flags & DROPPED == 0
-            at, doc, template, slot = at[keep], doc[keep], template[keep], slot[keep]
+            at, doc, template, slot, opening = at[keep], doc[keep], template[keep], slot[keep], opening[keep]
         literals = self.literal
-        return doc, lambda where: literals[at[where]], template, slot
+        return doc, lambda where: literals[at[where]], template, slot, opening
 
 
 def _mixed(parts) -> np.ndarray:
@@ -148,27 +151,33 @@ def _mixed(parts) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def windows(doc: np.ndarray, template: np.ndarray, slot: np.ndarray, literal) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, starts of all windows): each window by its template, if that has plain words enough, and
-    one with slots by its words too, so that copies are found whatever became of capital letters."""
+def windows(doc: np.ndarray, template: np.ndarray, slot: np.ndarray, literal, opening: np.ndarray, name: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, starts of all windows): each window by its template, if that has plain words enough, one
+    with slots by its words too, so that copies are found whatever became of capital letters, and one with words
+    that begin a sentence by the template in which they are names."""
     n = max(0, doc.size - WINDOW + 1)
     inside = doc[:n] == doc[WINDOW - 1 : WINDOW - 1 + n]
-    slots = sum((slot[j : j + n].view(np.uint8) for j in range(1, WINDOW)), slot[:n].view(np.uint8))
+    count = lambda marks: sum((marks[j : j + n].view(np.uint8) for j in range(1, WINDOW)), marks[:n].view(np.uint8))
+    slots = count(slot)
+    openings = count(opening)
     h = _mixed(template[j : j + n] for j in range(WINDOW))
     starts = np.flatnonzero(inside)
     by_template = np.flatnonzero(inside & (slots <= WINDOW - MIN_LITERALS))
     by_words = np.flatnonzero(inside & (slots > 0))
     worded = _mixed(literal(by_words + j) for j in range(WINDOW))
-    return np.concatenate((by_template, by_words)), np.concatenate((h[by_template], worded)), starts
+    by_name = np.flatnonzero(inside & (openings > 0) & (slots + openings <= WINDOW - MIN_LITERALS))
+    named = np.where(opening, name, template)
+    named = _mixed(named[by_name + j] for j in range(WINDOW))
+    return np.concatenate((by_template, by_words, by_name)), np.concatenate((h[by_template], worded, named)), starts
 
 
 class Benchmark:
     """A block of items, ready to be held against documents."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], canon: Canon):
-        doc, literal, template, self.slot = canon([t for _, t in items])
+        doc, literal, template, self.slot, self.opening = canon([t for _, t in items])
         self.literal = literal(np.arange(doc.size))
-        at, h, starts = windows(doc, template, self.slot, literal)
+        at, h, starts = windows(doc, template, self.slot, literal, self.opening, canon.name)
         self.ids = [i for i, _ in items]
         self.starts = np.searchsorted(doc, np.arange(len(items) + 1))
         order = np.argsort(h, kind="stable")
@@ -178,8 +187,8 @@ class Benchmark:
         self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
     def __call__(self, ids: list, texts: list[bytes], canon: Canon) -> list[tuple]:
-        doc, literal, template, slot = canon(texts)
-        at, h, _ = windows(doc, template, slot, literal)
+        doc, literal, template, slot, opening = canon(texts)
+        at, h, _ = windows(doc, template, slot, literal, opening, canon.name)
         hit = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hashes, h[hit], "left"), np.searchsorted(self.hashes, h[hit], "right")
         hit, lo, hi = (x[hi > lo] for x in (hit, lo, hi))
@@ -189,12 +198,12 @@ class Benchmark:
                 found[int(doc[p]), int(self.item[k])].add((p, int(self.at[k])))
         out = []
         for (d, i), pairs in sorted(found.items()):
-            if len({q for _, q in pairs}) >= COVERAGE * self.needed[i] and (row := self.best(sorted(pairs), i, literal, slot)):
+            if len({q for _, q in pairs}) >= COVERAGE * self.needed[i] and (row := self.best(sorted(pairs), i, literal, slot, opening)):
                 start = int(np.searchsorted(doc, d))
                 out.append((ids[d], self.ids[i], int(self.needed[i]), *row[:3], row[3] - start, row[4] - start))
         return out
 
-    def best(self, pairs: list[tuple[int, int]], i: int, literal, slot: np.ndarray):
+    def best(self, pairs: list[tuple[int, int]], i: int, literal, slot: np.ndarray, opening: np.ndarray):
         """The first stretch with enough windows: coverage, literal coverage, consistency, first and last token."""
         need = int(self.needed[i])
         reach = STRETCH * (self.starts[i + 1] - self.starts[i])
@@ -211,12 +220,12 @@ class Benchmark:
             # Judged when full, or when the stretch can't grow: the next window is out of reach.
             last = right + 1 == len(pairs) or pairs[right + 1][0] - pairs[left][0] > reach
             if len(inside) >= COVERAGE * need and (len(inside) == need or last):
-                row = self.judged(pairs[left : right + 1], need, literal, slot)
+                row = self.judged(pairs[left : right + 1], need, literal, slot, opening)
                 if row:
                     return row
         return None
 
-    def judged(self, pairs, need, literal, slot):
+    def judged(self, pairs, need, literal, slot, opening):
         step = np.arange(WINDOW)
         by_window: dict[int, list[int]] = defaultdict(list)
         for p, q in pairs:
@@ -230,9 +239,11 @@ class Benchmark:
             same += any(equal)
             p = places[equal.index(True)] if any(equal) else places[0]
             for j in range(WINDOW):
-                if self.slot[q + j] and slot[p + j] and (p + j, q + j) not in seen:
+                if (self.slot[q + j] or self.opening[q + j]) and (slot[p + j] or opening[p + j]) and (p + j, q + j) not in seen:
                     seen.add((p + j, q + j))
-                    votes[int(self.literal[q + j]), int(literal(p + j))] += 1
+                    here, there = int(self.literal[q + j]), int(literal(p + j))
+                    if here != there or self.slot[q + j] and slot[p + j]:
+                        votes[here, there] += 1
         most: dict[int, int] = defaultdict(int)
         for (mine, _), n in votes.items():
             most[mine] = max(most[mine], n)
@@ -240,8 +251,15 @@ class Benchmark:
         consistent = sum(most.values()) / total if total else 1.0
         if same >= COVERAGE * need or consistent >= SLOT_CONSISTENCY:
             return len(by_window) / need, same / need, consistent, pairs[0][0], pairs[-1][0] + WINDOW - 1
+        # Openings that differ, such as The and A, don't undo what windows without them show.
+        plain = [(p, q) for p, q in pairs if self.same_openings(p, q, literal, opening)]
+        if len(plain) < len(pairs) and len({q for _, q in plain}) >= COVERAGE * need:
+            return self.judged(plain, need, literal, slot, opening)
         return None
 
+    def same_openings(self, p: int, q: int, literal, opening) -> bool:
+        return all(self.literal[q + j] == literal(p + j) for j in range(WINDOW) if self.opening[q + j] or opening[p + j])
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, windows (of the item), coverage,

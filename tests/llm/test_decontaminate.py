@@ -108,3 +108,26 @@ def test_empty(spark):
     assert q.find_leaks(cases.empty(spark), b).collect() == []
     assert q.find_leaks(cases.frame(spark), none).collect() == []
     assert q.without_leaks(cases.frame(spark), none).count() == len(cases.documents())
+
+
+def test_names_at_the_start_of_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have now?"
+    texts = [
+        item,
+        "Ann has 7 apples. Ann buys 4 more. How many apples does Ann have now?",
+        "some words before it. Ann has 7 apples. Ann buys 4 more. How many apples does Ann have now? Some more words",
+        "Ann has 7 apples. Bob buys 4 more. How many apples does Carl have now?",
+        "Ann has 7 lemons. Ann eats 4 more. How many lemons will Ann want now?",
+    ]
+    docs = cases.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = q.find_leaks(docs, items(spark, [(1, item, "x")])).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2]
+
+
+def test_openings_that_differ_undo_nothing(spark):
+    # Inside the sentences all is as in the item; The stands for A, So, Yet and Now.
+    part = "{} crowd of 12 people met Paul near the old harbour and walked along the quiet river until it was dark again there"
+    item, text = (". ".join(part.format(w) for w in ws) for ws in (["The"] * 4, ["A", "So", "Yet", "Now"]))
+    text = text.replace("12", "34").replace("Paul", "Rita")
+    docs = cases.frame(spark, [(1, text, "en", "s", 0)])
+    assert [r.doc_id for r in q.find_leaks(docs, items(spark, [(1, item, "x")])).collect()] == [1]
