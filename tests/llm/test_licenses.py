@@ -118,3 +118,10 @@ def test_word_runs_against_brute_force():
         text = " ".join(w for w in parts if rng.random() > 0.1)
         got, want = {r[0]: r[1] for r in q.Scanner()(text)}, brute_words(text)
         assert set(got) <= set(want) and max(got.values(), default=0) == pytest.approx(max(want.values(), default=0))
+
+
+def test_related_licences_are_told_apart():
+    gpl = q.TEMPLATES["GPL-3.0"][1]
+    texts = {name: gpl.replace("GNU General", f"GNU {word} General") for name, word in [("LGPL-3.0", "Lesser"), ("AGPL-3.0", "Affero")]} | {"GPL-3.0": gpl}
+    for name, text in texts.items():
+        assert [(r[0], r[1]) for r in q.Scanner()("intro " + text + " more words")] == [(name, pytest.approx(1))]
