@@ -14,8 +14,9 @@ joins, none of which gathers a host in one task.  All of it is DataFrame functio
 
 Defined results: a null url, or one without ``://``, has an empty host and path; unlabelled templates have
 the corpus' rate, without any label nothing is blocked; null page ids are kept; repeated pages count and
-are returned each, repeated labels count each; extra columns are ignored; empty in, empty out.  Segments
-beyond the ``MAX_DEPTH``-th stand as one.
+are returned each, repeated labels count each; extra columns are ignored; empty in, empty out.  In paths of
+more than ``MAX_DEPTH`` segments, the rest of a branch from the ``MAX_DEPTH``-th on stands as one ``{x}`` once
+all its labels agree or one typed path is left, so that nothing in it can differ; other branches go on.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def typed_segments(path: Column) -> Column:
-    """The path's segments with variable ones typed, at most MAX_DEPTH; '' for an empty path is no segment."""
+    """The path's segments with variable ones typed; '' for an empty path is no segment."""
 
     def typed(s: Column) -> Column:
         stem, ext = F.regexp_replace(s, r"\.[A-Za-z]{1,5}$", ""), F.regexp_extract(s, r"\.[A-Za-z]{1,5}$", 0)
@@ -82,7 +83,6 @@ def typed_segments(path: Column) -> Column:
         return F.when(kind.isNotNull(), F.concat(kind, ext)).when(s.startswith("{"), F.lit("{x}")).otherwise(s)
 
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH - 1), F.array(F.lit("{rest}")))).otherwise(parts)
     return F.when(path.isin("", "/"), F.array().cast("array<string>")).otherwise(F.transform(parts, typed))
 
 
@@ -96,13 +96,30 @@ def _told_apart() -> Column:
     return F.coalesce((n > 0) & (p > 0) & (p < 1) & far, F.lit(False))
 
 
+def _settled(tree: DataFrame, k: int) -> DataFrame:
+    """``tree`` with the ways of branches that can't split from the k-th segment on cut to one ``{x}`` there."""
+    deep = F.size("way") > max(k + 1, MAX_DEPTH)
+    branch = tree.where(deep).groupBy(F.col("host").alias("h"), F.col("template").alias("t"))
+    branch = branch.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.count(F.lit(1)).alias("paths"))
+    done = branch.where("paths = 1 or b = 0 or b = l").select("h", "t")
+    rows = tree.join(done, deep & (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left")
+    way = F.when(F.col("h").isNotNull(), F.concat(F.slice("way", 1, k), F.array(F.lit("{x}")))).otherwise(F.col("way"))
+    return rows.select("host", "segs", way.alias("way"), "n", "labelled", "bad", "template")
+
+
 def templates(stats: DataFrame) -> DataFrame:
     """``stats``: (host, segs, n, labelled, bad), one row each host and typed path -> (host, segs, template)."""
     spark = stats.sparkSession
-    tree, path = materialized(stats.withColumn("template", F.lit("")), "tree")
-    depth = tree.agg(F.max(F.size("segs")).alias("d")).first().d or 0
-    for k in range(depth):
-        seg = F.get("segs", F.lit(k))
+    # ``way``: the segments still to be followed, ``segs`` but for a rest that is settled.
+    tree, path = materialized(stats.withColumn("template", F.lit("")).withColumn("way", F.col("segs")), "tree")
+    depth = tree.agg(F.max(F.size("way")).alias("d")).first().d or 0
+    k = 0
+    while k < depth:
+        if k >= MAX_DEPTH - 1 and depth > max(k + 1, MAX_DEPTH):
+            old, (tree, path) = path, materialized(_settled(tree, k), "tree")
+            discard(spark, old)
+            depth = tree.agg(F.max(F.size("way")).alias("d")).first().d
+        seg = F.get("way", F.lit(k))
         child = tree.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg"))
         child = child.agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]).withColumn("literal", ~F.col("seg").startswith("{"))
         node = child.groupBy(F.col("host").alias("h"), F.col("template").alias("t")).agg(
@@ -123,9 +140,10 @@ def templates(stats: DataFrame) -> DataFrame:
         name = F.when(F.col("rare"), F.lit("{*}")).when(common & F.coalesce(similar, F.lit(False)), F.lit("{+}")).otherwise(F.col("seg"))
         named = child.join(pooled, same, "left").select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("seg").alias("s"), name.alias("name"))
         grown = tree.join(named, same & seg.eqNullSafe(F.col("s")), "left")
-        grown = grown.select("host", "segs", "n", "labelled", "bad", F.concat("template", F.when(F.col("name").isNotNull(), F.concat(F.lit("/"), F.col("name"))).otherwise(F.lit(""))).alias("template"))
+        grown = grown.select("host", "segs", "way", "n", "labelled", "bad", F.concat("template", F.when(F.col("name").isNotNull(), F.concat(F.lit("/"), F.col("name"))).otherwise(F.lit(""))).alias("template"))
         old, (tree, path) = path, materialized(grown, "tree")
         discard(spark, old)
+        k += 1
     return tree
 
 

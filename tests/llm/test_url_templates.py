@@ -160,3 +160,10 @@ def test_branches_keep_their_templates_whatever_their_number(spark, slugs):
 def test_a_rare_branch_with_few_labels_is_pooled(spark):
     rows, marks = branchy(200, small=1)
     assert "big.net/{*}/{n}" in {r.template for r in judged(spark, rows, marks).collect() if "/pills/" in r.path}
+
+
+def test_deep_branches_are_told_apart(spark):
+    urls = [f"http://deep.net/a/b/c/d/e/{kind}/{i}{tail}" for i in range(40) for kind in ("spam", "docs") for tail in ("", "/more/of/it")]
+    rows = [(i, u, "", "x") for i, u in enumerate(urls)]
+    got = judged(spark, rows, [(i, "/spam/" in u) for i, u, _, _ in rows]).collect()
+    assert len(got) == len(rows) and all((r.verdict == "block") == ("/spam/" in r.path) for r in got)
