@@ -6,12 +6,15 @@ import sys
 import types
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, exists, hadoop_path, materialized, shared_dir, shared_path
 
-__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "per_worker", "shared_dir", "shared_path", "table", "to_python", "word_count"]
+__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "Numbers", "per_worker", "shared_dir", "shared_path", "table", "text_of", "to_python", "word_count"]
 
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and return.
 #: ``bytes.split()`` splits on exactly these six, which the Python parts rely on.
@@ -55,3 +58,41 @@ def per_worker(key: tuple, make: Callable[[], object]):
         kept.pop("value", None)
         kept["key"], kept["value"] = key, make()
     return kept["value"]
+
+
+def text_of(column: pa.Array) -> pa.Array:
+    """A column of UTF-8 bytes or text as text; null is empty, bytes that aren't UTF-8 are replaced."""
+    if not pa.types.is_string(column.type):
+        try:
+            column = column.cast(pa.string())
+        except pa.ArrowInvalid:
+            column = pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()], pa.string())
+    return column.fill_null("")
+
+
+class Numbers:
+    """Numbers strings as they are met, so that what is worked out for each can stand in arrays.
+
+    Strings are told apart by Arrow, batch by batch.  What is kept of them is bounded by their number and bytes: beyond
+    that all are forgotten, which costs time and changes no result.
+    """
+
+    def __init__(self, limit: int, size: int):
+        self.limit, self.size = limit, size
+        self.known = pa.array([], pa.string())
+
+    def __call__(self, strings: pa.Array) -> tuple[np.ndarray, pa.Array, bool]:
+        """The number of each string, the strings that are new (numbered in their order), and whether the earlier
+        ones are forgotten."""
+        anew = len(self.known) > self.limit or self.known.nbytes > self.size
+        if anew:
+            self.known = self.known[:0]
+        distinct = strings.dictionary_encode()
+        place = pc.index_in(distinct.dictionary, value_set=self.known)
+        at = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = place.is_null()
+        new = distinct.dictionary.filter(missing)
+        if len(new):
+            at[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
+        return at[distinct.indices.to_numpy(zero_copy_only=False)], new, anew

@@ -28,24 +28,27 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import per_worker, shared_path, table, to_python
+from .common import Numbers, per_worker, shared_path, table, text_of, to_python
 
 END = 0
 SEGMENT_IDS = 1 << 20
 STEP = 64
-#: Pieces whose ids a worker keeps: the memory bound of a cache, not of the result.
-CACHE_PIECES = 500_000
+#: Strings whose ids a worker keeps, and their bytes: the memory bound of a cache, not of the result.
+CACHE_STRINGS = 1_000_000
+CACHE_BYTES = 24 << 20
 
-#: Characters whose classes are spelled out in PIECES; texts with any other go to the library whole, as do
-#: those with the special token, which isn't split at all.
-PLAIN = r"[^\n\x20-\x7e\xa1-\xac\xae-\xffĀ-ſ‐-‧‰-›€]|<\|endoftext\|>"
+#: Characters whose classes are spelled out in PIECES; texts with any other go to the library whole.
+PLAIN = r"\n\x20-\x7e\xa1-\xac\xae-\xffĀ-ſ‐-‧‰-›€"
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+#: Marks that plain texts don't hold: the start of a text, the end of a chunk, and what stands between pieces.
+_FIRST, _STOP, _BETWEEN = "\x01", "\x00", "\x02"
 #: How a byte-level BPE vocabulary of this kind splits such texts before merging.
-PIECES = rf" ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
+PIECES = rf"{_STOP}| ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_STOP}{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 
 
 def _byte_names() -> dict[int, str]:
@@ -59,75 +62,126 @@ def _byte_names() -> dict[int, str]:
 _BYTE_NAMES = _byte_names()
 
 
+def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if ends.size else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class Kept:
+    """Ids of strings; those not met before are encoded all at once.  A million strings take some 40 MB."""
+
+    def __init__(self, encode, kind: str):
+        self.encode, self.kind = encode, kind
+        self.numbers = Numbers(CACHE_STRINGS, CACHE_BYTES)
+        self.forget()
+
+    def forget(self) -> None:
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def __call__(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each string has, and all ids one after the other."""
+        at, new, anew = self.numbers(strings)
+        if anew:
+            self.forget()
+        if len(new):
+            sizes, ids = self.encode(new)
+            self.starts = np.concatenate((self.starts, self.ids.size + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes.astype(np.int32)))
+            self.ids = np.concatenate((self.ids, ids))
+        sizes = self.sizes[at].astype(np.int64)
+        return sizes, _ragged(self.ids, self.starts[at], sizes)
+
+
 class Encoder:
-    """Encodes texts with a tokenizer file; pieces seen before are looked up.
+    """Encodes texts with a tokenizer file.
 
-    Byte-level BPE splits a text into pieces and merges inside each piece alone, so a text's ids are those of
-    its pieces one after the other.
+    Byte-level BPE splits a text into pieces and merges inside each piece alone, and a space between two other
+    characters than white space always begins a piece.  So the ids of a plain text are those of its chunks between
+    such spaces, one after the other, and a chunk's those of its pieces; the library merges each piece that hasn't
+    been met.  Texts with characters beyond PLAIN, and all texts of other kinds of tokenizers, go to the library whole.
     """
 
     def __init__(self, path: str):
+        import json
         import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same model, for lines that are one piece each, bytes named already.
-        self.by_line = Tokenizer(self.tokenizer.model)
-        self.by_line.pre_tokenizer = Split(_BYTE_NAMES[ord("\n")], "isolated")
+        parts = json.loads(self.tokenizer.to_str())
+        before, model = parts["pre_tokenizer"] or {}, parts["model"]
+        self.by_chunks = (
+            parts["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
+            and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+        #: What marks a text that isn't plain: another character, or a token that is never split.
+        special = [re.escape(t["content"]) for t in parts["added_tokens"]]
+        self.odd = "|".join([f"[^{PLAIN}]", *special])
         self.split = re.compile(PIECES).findall
-        self.search = re.compile(PLAIN).search
-        self.known: dict[str, bytes] = {}
+        self.spaces = re.compile(r"(?<=\S) (?=\S)").split
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.newline = self.tokenizer.encode("\n").ids[0]
-
-    def odd(self, text: str) -> bool:
-        """Does the text hold anything beyond PLAIN?"""
-        if text.isascii():
-            return not text.replace("\n", " ").isprintable() or "<|endoftext|>" in text
-        return self.search(text) is not None
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in got]
-
-    def learn(self, pieces: set[str]) -> None:
-        size = int(self.kind[2])
-        blank = [p for p in pieces if p.isspace()]
-        self.known.update(zip(blank, self.whole(blank)))
-        lines = [p for p in pieces if not p.isspace()]
-        for at in range(0, len(lines), 1024):
-            some = lines[at : at + 1024]
-            ids = np.array(self.by_line.encode_batch_fast(["\n".join(some).encode().decode("latin-1").translate(_BYTE_NAMES)], add_special_tokens=False)[0].ids, self.kind)
-            raw, stops = ids.tobytes(), (np.append(np.flatnonzero(ids == self.newline), ids.size) * size).tolist()
-            start = 0
-            for p, stop in zip(some, stops, strict=True):
-                self.known[p] = raw[start:stop]
-                start = stop + size
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = Kept(self._pieces, self.kind)
+        self.chunks = Kept(self._chunks, self.kind)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        named = _BETWEEN.join(pieces.to_pylist()).encode().decode("latin-1").translate(_BYTE_NAMES).split(_BYTE_NAMES[ord(_BETWEEN)])
+        stop, merge = _BYTE_NAMES[ord(_STOP)], self.merge
+        sizes: list[int] = []
+        ids: list[int] = []
+        for p in named:
+            got = merge(p) if p != stop else ()
+            sizes.append(len(got))
+            ids += [t.id for t in got]
+        return np.array(sizes, np.int64), np.array(ids, self.kind)
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        # A word is a piece with the space before it; other chunks are split together, each followed by a mark.
+        alpha = pc.utf8_is_alpha(chunks)
+        word = alpha.to_numpy(zero_copy_only=False)
+        texts = [c[1:] + _STOP if c[:1] == _FIRST else " " + c + _STOP for c in chunks.filter(pc.invert(alpha)).to_pylist()]
+        column = pa.concat_arrays([pc.binary_join_element_wise(" ", chunks.filter(alpha), ""), pa.array(self.split("".join(texts)), pa.string())])
+        sizes, ids = self.pieces(column)
+        words = word.sum()
+        last = np.flatnonzero(pc.equal(column, _STOP).to_numpy(zero_copy_only=False))
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        starts, ends = np.empty(word.size, np.int64), np.empty(word.size, np.int64)
+        starts[word], ends[word] = upto[:words], upto[1 : words + 1]
+        starts[~word], ends[~word] = np.concatenate(([upto[words]], upto[last + 1]))[: last.size], upto[last + 1]
+        return ends - starts, _ragged(ids, starts, ends - starts)
+
+    def arrays(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as the library gives them for the whole text."""
+        texts = text_of(texts)
+        if not self.by_chunks:
+            return self.whole(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        at = np.flatnonzero(odd)
+        for i, ids in zip(at.tolist(), self.whole(texts.take(pa.array(at)).to_pylist())):
+            out[i] = ids
+        uneven = pc.match_substring_regex(texts, "  | \n|\n ").to_numpy(zero_copy_only=False) & ~odd
+        for some, mine in ((texts.filter(pa.array(~odd & ~uneven)), ~odd & ~uneven), (texts.filter(pa.array(uneven)), uneven)):
+            if not len(some):
+                continue
+            marked = pc.binary_join_element_wise(_FIRST, some, "")
+            # Where white space comes in runs, only spaces between other characters part chunks.
+            lists = pa.array([self.spaces(t) for t in marked.to_pylist()], pa.list_(pa.string())) if mine is uneven else pc.split_pattern(marked, " ")
+            sizes, ids = self.chunks(lists.flatten())
+            offsets = lists.offsets.to_numpy()
+            ends = np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]].tolist()
+            for i, a, z in zip(np.flatnonzero(mine).tolist(), ends, ends[1:]):
+                out[i] = ids[a:z]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes, as the library gives them for the whole text."""
-        out = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.odd(t)]
-        for i, raw in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = raw
-        plain = sorted(set(range(len(texts))).difference(odd))
-        for at in range(0, len(plain), 64):
-            parts = [(i, self.split(texts[i])) for i in plain[at : at + 64]]
-            here = set().union(*(p for _, p in parts))
-            new = here.difference(self.known)
-            if len(self.known) + len(new) > CACHE_PIECES:
-                self.known.clear()
-                new = here
-            self.learn(new)
-            get = self.known.__getitem__
-            for i, p in parts:
-                out[i] = b"".join(map(get, p))
-        return out
+        return [ids.tobytes() for ids in self.arrays(pa.array(texts, pa.string()))]
 
 
 def elias_fano(ends: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
@@ -211,15 +265,12 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, segment_ids: int = SE
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, SEGMENT)], schema=SEGMENT)
 
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                encoded = encode(texts[at : at + 256])
-                for name, ids in zip(b.column(0).slice(at, 256).to_pylist(), encoded):
-                    arrays.append(ids + end)
-                    names.append(name)
-                    held += len(ids) // size + 1
-                    if held >= segment_ids:
-                        yield segment()
+            for name, ids in zip(b.column(0).to_pylist(), encode.arrays(b.column(1))):
+                arrays.append(ids.tobytes() + end)
+                names.append(name)
+                held += ids.size + 1
+                if held >= segment_ids:
+                    yield segment()
         if names:
             yield segment()
 
