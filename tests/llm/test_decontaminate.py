@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from lanternql.llm import decontaminate as q
@@ -131,3 +133,93 @@ def test_openings_that_differ_undo_nothing(spark):
     text = text.replace("12", "34").replace("Paul", "Rita")
     docs = cases.frame(spark, [(1, text, "en", "s", 0)])
     assert [r.doc_id for r in q.find_leaks(docs, items(spark, [(1, item, "x")])).collect()] == [1]
+
+
+def test_items_shorter_than_a_window(spark):
+    short = [(1, "Capital of France is", "x"), (2, "photosynthesis", "x"), (3, "Who wrote Hamlet?", "x"), (4, "x y", "x"), (5, "?!", "x")]
+    texts = [
+        "some words, the capital of France is Paris",
+        "Photosynthesis",
+        "he asked (who wrote Hamlet) twice: who wrote Hamlet?",
+        "capital of Spain is, who wrote it, x then y",
+        "x",
+        "of France is",
+    ]
+    docs = cases.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = q.find_leaks(docs, items(spark, short)).collect()
+    assert sorted((r.doc_id, r.item_id, r.windows, r.first_token, r.last_token) for r in got) == [(0, 1, 1, 3, 6), (1, 2, 1, 0, 0), (2, 3, 1, 2, 4)]
+
+
+def test_items_of_many_slots(spark):
+    # Most windows of five hold fewer than two plain words.
+    dense = "Give 12 34 56 78 90 21 43 65 to Alice Brown Carol Davis and 87 98 76 54 32 11 22"
+    same = "Give 13 35 57 79 91 22 44 66 to Emma Frank George Hall and 88 99 77 55 33 12 23"
+    mixed = "Give 13 13 13 79 91 22 44 66 to Emma Emma Emma Emma and 13 13 13 13 13 13 13"
+    other = "Take 13 35 57 79 91 22 44 66 from Emma Frank George Hall or 88 99 77 55 33 12 23"
+    numbers = " ".join(str(n) for n in range(10, 40))
+    b = items(spark, [(1, dense, "x"), (2, numbers, "x")])
+    texts = [dense, "so we say. " + same + ". And more of it follows", other, numbers + " then", " ".join(str(n) for n in range(50, 80))]
+    got = q.find_leaks(cases.frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), b).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (1, 1), (3, 2)]
+    back = q.find_leaks(cases.frame(spark, [(1, dense, "en", "s", 0)]), items(spark, [(1, mixed, "x")])).collect()
+    assert back == []  # one value of the item stands for many
+
+
+def naive_template(tokens):
+    return ["<n>" if t.isdigit() else "<c>" if t[0].isupper() else t for t in tokens]
+
+
+def naive_reworded(doc, item):
+    """Does some stretch of the document hold 0.8 of the item's template windows with consistent slots?"""
+    d, i = doc.split(), item.split()
+    td, ti = naive_template(d), naive_template(i)
+    of = lambda x, k: tuple(x[k : k + 5])
+    wants = [k for k in range(len(ti) - 4)]
+    for a in range(len(td) - 4):
+        pairs = [(p, k) for p in range(a, min(len(td) - 4, a + int(1.5 * len(ti)) + 1)) for k in wants if of(td, p) == of(ti, k)]
+        if len({k for _, k in pairs}) < 0.8 * len(wants):
+            continue
+        first = {}
+        for p, k in pairs:
+            first.setdefault(k, p)
+        same = sum(any(of(d, p) == of(i, k) for p, j in pairs if j == k) for k in wants)
+        slots = {(p + j, k + j) for k, p in first.items() for j in range(5) if ti[k + j][0] == "<"}
+        votes = Counter((i[y], d[x]) for x, y in slots)
+        best = {}
+        for (mine, _), n in votes.items():
+            best[mine] = max(best.get(mine, 0), n)
+        if same >= 0.8 * len(wants) or not votes or sum(best.values()) >= 0.8 * sum(votes.values()):
+            return True
+    return False
+
+
+def test_reworded_items_against_brute_force(spark):
+    rng = random.Random(21)
+    names, plain = ["Anna", "Bert", "Cleo", "Dora", "Emil", "Finn"], "walks over green hills with seven red boats under old trees near quiet rivers before long dark nights come back".split()
+    plain.remove("seven")
+    made, texts = [], []
+    for i in range(12):
+        words = [rng.choice(plain)]
+        while len(words) < 16:  # a slot after every two or three plain words
+            words += rng.sample(plain, rng.randint(2, 3)) + [rng.choice(names) if rng.random() < 0.5 else str(rng.randint(2, 9))]
+        made.append((i, " ".join(words), "x"))
+        pick = lambda w, to: to.setdefault(w, rng.choice(names) if w in names else str(rng.randint(11, 99))) if w in names or w.isdigit() else w
+        to: dict = {}
+        texts.append(" ".join(pick(w, to) for w in words))  # all slots changed alike
+        texts.append(" ".join(pick(w, {}) for w in words))  # each slot for itself
+        texts.append(" ".join(rng.choice(plain) if rng.random() < 0.15 else w for w in words))
+        texts.append(" ".join(words[:9]))
+    texts = [" ".join([rng.choice(plain) for _ in range(10)] + t.split() + [rng.choice(plain) for _ in range(10)]) for t in texts]
+    want = sorted((d, i) for d, t in enumerate(texts) for i, item, _ in made if naive_reworded(t, item))
+    got = q.find_leaks(cases.frame(spark, [(d, t, "en", "s", 0) for d, t in enumerate(texts)]), items(spark, made)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == want and len(want) > 15
+
+
+def test_words_in_bulk_and_one_by_one():
+    rng = random.Random(2)
+    words = [w for r in cases.documents() for w in (r[1] or "").split()] + "Paris. PARIS paris! (Rome) 12 3,5% 5km seven Seven SEVEN. km Km: Über ÜBER straße STRAßE ª İx don't a-b … — “Yes” no?” ½ $5 #!".split()
+    words += ["".join(rng.choices("aAbB1.,'éÉß!?:)“”%-", k=rng.randint(1, 6))) for _ in range(3000)]
+    words = sorted(set(words))
+    canon = q.Canon()
+    canon.learn(pa.array(words))
+    assert list(zip(canon.literal.tolist(), canon.template.tolist(), canon.flags.tolist())) == [q.canonical(w) for w in words]
