@@ -245,7 +245,8 @@ class Scope:
                 return v
             if v.kind == "exact":
                 n, d = v.pair
-                return Value(((n - n % d) / d).cast("long") if v.literal is not None else F.when(n < 0, -F.floor(F.abs(n) / d)).otherwise(F.floor(n / d)).cast("long"), "int", v.nonnull, type=T.LongType())
+                # A quotient of decimals is rounded, so the remainder (of the dividend's sign) goes first.
+                return Value(((n - n % d) / d).cast("long"), "int", v.nonnull, type=T.LongType())
             if v.kind in ("dec", "float"):
                 return Value(v.col.cast("long"), "int", v.nonnull, type=T.LongType())
             if v.kind == "string":

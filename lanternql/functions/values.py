@@ -206,9 +206,14 @@ def power(a: Value, b: Value) -> Value:
     if b.literal is None:
         if b.kind != "int":
             raise QueryError("exponent must be an integer")
+        safe = a.nonnull and b.nonnull
         if a.kind == "float":
-            return Value(F.pow(as_double(a), b.col), "float", a.nonnull and b.nonnull, type=T.DoubleType())
-        return Value(F.pow(as_double(a), b.col).cast("long") if a.kind == "int" else F.pow(as_double(a), b.col), "int" if a.kind == "int" else "float", a.nonnull and b.nonnull, type=T.LongType() if a.kind == "int" else T.DoubleType())
+            return Value(F.pow(as_double(a), b.col), "float", safe, type=T.DoubleType())
+        n, d = (_whole_power(x, F.abs(b.col.cast("long"))) for x in as_pair(a))
+        under = b.col < 0
+        n0 = F.when(under & (n == 0), F.raise_error(F.lit("division by zero")).cast(WIDE)).otherwise(n)
+        sign = F.when(n < 0, F.lit(-1)).otherwise(F.lit(1)).cast(WIDE)
+        return Value(None, "exact", safe, (F.when(under, (d * sign).cast(WIDE)).otherwise(n), F.when(under, F.abs(n0)).otherwise(d).cast(WIDE)))
     if b.literal.denominator != 1:
         raise QueryError("exponent must be an integer")
     n = int(b.literal)
@@ -220,6 +225,14 @@ def power(a: Value, b: Value) -> Value:
     return out if n > 0 else arithmetic("/", number(1), out)
 
 
+def _whole_power(x: Column, k: Column) -> Column:
+    """x to the k-th, k >= 0, by multiplication; beyond 38 digits is an overflow error.  Of -1, 0 and 1 only k's
+    parity counts, and any other number to the 128th has more digits than that."""
+    times = F.when(F.abs(x) <= 1, F.when(k == 0, 0).when(k % 2 == 1, 1).otherwise(2)).otherwise(F.least(k, F.lit(128))).cast("int")
+    one = F.lit(1).cast(WIDE)
+    return F.when(times == 0, one).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), times)), one, lambda a, _: (a * x).cast(WIDE)))
+
+
 def negated(v: Value) -> Value:
     if v.kind == "exact":
         return v.but(pair=(-v.pair[0], v.pair[1]), literal=None)

@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..errors import QueryError
 from ..functions import values as V
@@ -38,6 +39,9 @@ class GroupScope(Scope):
         super().__init__(rows.schema, rows.options, rows.nonnull, rows.outer, rows.source)
         self.rows, self.keys, self.time_field = rows, set(keys), time_field
         self.prepared: dict[str, Column] = {}
+        #: (prepared column, share, name of the column with its value of that rank)
+        self.ranks: list[tuple[str, Fraction, str]] = []
+        self.plain = True
         self.needs_row = False
         self.filter = None
 
@@ -119,24 +123,14 @@ class GroupScope(Scope):
         return p
 
     def percentile(self, e: ast.Call, v: Value, x: Column) -> Value:
-        """Nearest rank.  Numbers, dates and timestamps go through the built-in counting aggregate; its rank is
-        worked out in doubles, so the share is lowered by a few units in the last place, which keeps exact
-        ranks and never reaches the one below.  Other types, and shares that are no literal, take the sorted
-        values."""
+        """Nearest rank.  In plain groups it is looked up in a table of ranks; under ROLLUP and CUBE, and for shares
+        that are no literal, among the group's sorted values."""
         p = self.share(e)
-        # A double holds days and microseconds exactly (up to 2^53, the year 2255).
-        there, back = {
-            "date": (F.unix_date, lambda c: F.date_from_unix_date(c.cast("int"))),
-            "utc": (F.unix_micros, lambda c: F.timestamp_micros(c.cast("long"))),
-            # The session's zone stands for none, both ways.
-            "naive": (lambda c: F.unix_micros(c.cast("timestamp")), lambda c: F.timestamp_micros(c.cast("long")).cast("timestamp_ntz")),
-        }.get(v.kind, (lambda c: c, lambda c: c.cast(v.type)))
-        if v.kind in (*V.NUMBERS, "date", "utc", "naive") and p.literal is not None:
+        if p.literal is not None and self.plain:
             name = f"__p{len(self.prepared)}"
-            self.prepared[name] = there(x).cast("double")
-            share = float(p.literal) * (1 - 2.0**-50)
-            col = F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY `{name}`)")
-            return Value(back(col), v.kind, type=v.type)
+            self.prepared[name] = x
+            self.ranks.append((name, Fraction(p.literal), f"{name}_rank"))
+            return v.but(col=F.first(F.col(f"{name}_rank")), nonnull=False, literal=None)
         return v.but(col=ranked(F.collect_list(x), p), nonnull=False, literal=None)
 
     def rate(self, d: Value) -> Value:
@@ -175,12 +169,43 @@ def ranked(values: Column, p: Value) -> Column:
     return F.get(F.sort_array(values), F.greatest(F.lit(1), F.least(rank.cast("int"), n)) - 1)
 
 
+def matched(df: DataFrame, by: list[Column], table) -> DataFrame:
+    """``df`` with the columns of ``table(df, key names)``, which has one row for each value of the keys ``by``."""
+    names = [f"__by{i}" for i in range(len(by))]
+    rows = df.withColumns(dict(zip(names, by))) if by else df
+    found = table(rows, names)
+    if not by:
+        return rows.crossJoin(F.broadcast(found))  # one row
+    found = found.withColumnsRenamed({n: f"{n}_of" for n in names})
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in names]
+    return rows.join(found, same, "left").drop(*names, *[f"{n}_of" for n in names])
+
+
+def rank_table(rows: DataFrame, names: list[str], value: str, picks: list[tuple[Fraction, str]]) -> DataFrame:
+    """The values of nearest rank by the keys ``names``.  Equal values are counted first, with partial aggregation; what
+    is sorted are a key's distinct values, and sorting spills."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*names, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    upto = F.sum("__n").over(whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(*names, "__v", upto.cast(V.WIDE).alias("__upto"), F.sum("__n").over(whole).cast(V.WIDE).alias("__all"))
+
+    def pick(p: Fraction) -> Column:  # the first value of which ``upto`` reaches p * all, and at least 1
+        upto, n = F.col("__upto"), F.col("__all")
+        reached = (upto * F.lit(p.denominator).cast(V.WIDE)).cast(V.WIDE) >= (n * F.lit(p.numerator).cast(V.WIDE)).cast(V.WIDE)
+        return F.min(F.when(reached, F.col("__v")))
+
+    return placed.groupBy(*names).agg(*[pick(p).alias(r) for p, r in picks])
+
+
 def grouped(df: DataFrame, keys: list[str], group_cols: list[tuple[str, Column]], grouping: str, aggs: list[Column], scope: GroupScope) -> DataFrame:
     """Group by the carried keys and the group columns; ROLLUP and CUBE keep their grand total on empty input."""
     for name, col in scope.prepared.items():
         df = df.withColumn(name, col)
     if grouping != "plain" and keys:
         raise QueryError("unsupported", f"{grouping} inside a correlated nested select")
+    for value in dict.fromkeys(v for v, _, _ in scope.ranks):
+        picks = [(p, r) for v, p, r in scope.ranks if v == value]
+        df = matched(df, [F.col(f"`{k}`") for k in keys] + [c for _, c in group_cols], lambda rows, names: rank_table(rows, names, value, picks))  # noqa: B023
     by = [F.col(f"`{k}`") for k in keys] + [c.alias(n) for n, c in group_cols]
     if grouping == "plain":
         return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)

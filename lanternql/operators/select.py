@@ -33,6 +33,8 @@ from .window import WindowScope, has_window
 
 POSITION = "__pos"
 MAX_ITERATIONS = 10_000
+#: Rounds after which what is found so far is written as one table, so that no plan reads more tables than that.
+FOLD = 16
 
 
 def conjuncts(p) -> list:
@@ -118,7 +120,7 @@ class Lowering:
         base = self.run(q.left)
         current, _ = materialized(base.distinct() if distinct else base, "round")
         everything = current
-        for _ in range(MAX_ITERATIONS):
+        for n in range(1, MAX_ITERATIONS + 1):
             if current.isEmpty():
                 return everything
             step = Lowering(self.catalog, self.options, self.withs, self.time_field, self.types)
@@ -128,9 +130,11 @@ class Lowering:
                 raise QueryError("mismatched_columns", everything.columns, new.columns)
             new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in everything.schema])
             if distinct:
-                new = new.distinct().subtract(everything)
+                new = new.subtract(everything)  # which makes it distinct
             current, _ = materialized(new, "round")
             everything = everything.union(current)
+            if n % FOLD == 0:
+                everything, _ = materialized(everything, "rounds")
         raise QueryError("recursive_with_iteration_limit", name, MAX_ITERATIONS)
 
     # -- one select
@@ -205,6 +209,8 @@ class Lowering:
         cols += [self.link(scope.field((f,)), scope, f).alias(f"__c_{f}") for f in links]
         if row:
             cols.append(F.col(ROW))
+        if windows:
+            df = scope.ready(df)
         return self.finish(q, df.select(*cols), names, keys, sorts, nested, row, listed)
 
     def grouped(self, q, df, scope, keys, plain, nested, listed):
@@ -215,6 +221,7 @@ class Lowering:
             if i.where is not None or has_aggregate(i.expr):
                 raise QueryError("unsupported", f"{i.alias}: a window over a group's rows; name the aggregate first")
         g = GroupScope(scope, q.group_by if q.grouping == "plain" else (), q.time_field or self.time_field)
+        g.plain = q.grouping == "plain"
         group_cols, blanked = [], {}
         for n, path in enumerate(q.group_by):
             v = scope.field(path)
@@ -249,7 +256,8 @@ class Lowering:
         df = df.select(*cols, *([F.col(ROW)] if first else []))
         if windows:
             w = WindowScope(Scope(df.schema, self.options), keys, None)
-            df = df.select("*", *[V.output(w.value(i.expr), self.options.exact).alias(i.alias) for i in windows])
+            made = [V.output(w.value(i.expr), self.options.exact).alias(i.alias) for i in windows]
+            df = w.ready(df).select(*df.columns, *made)
             names = [i.alias for i in plain]
         out = Scope(df.schema, self.options)
         sorts = [(out.value(o.expr), o.desc) for o in q.order_by]

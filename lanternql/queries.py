@@ -21,6 +21,10 @@ def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
         catalog.register_parquet(t, f"{sf_dir}/{t}.parquet", "*")
     # A hierarchy: every nation's parent has half its key.
     catalog.register("hierarchy", lambda: catalog.table(("nation",)).select(F.col("n_nationkey").alias("id"), F.expr("case when n_nationkey > 0 then n_nationkey div 2 end").alias("parent").cast("int"), F.col("n_name").alias("name")))
+    # Tables whose columns hold nulls or lists; nothing is declared about them, so every comparison tests for nulls.
+    sparse = "o_orderkey AS id", "CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS priority", "CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS cust"
+    catalog.register("sparse", lambda: catalog.table(("orders",)).selectExpr(*sparse))
+    catalog.register("tagged", lambda: catalog.table(("part",)).selectExpr("p_partkey", "split(p_name, ' ') AS words", "named_struct('words', split(p_name, ' ')) AS meta"))
     catalog.register_call("numbers", lambda low, high: spark.range(int(low), int(high) + 1).withColumnRenamed("id", "n"))
     e = Engine(catalog, **options)
     e.functions.register("text.upper", F.upper)
@@ -53,6 +57,8 @@ def exploded(name: str):
     return lambda df: df.select(*[c for c in df.columns if c != name], F.explode(name).alias("x")).select(*[c for c in df.columns if c != name], "x.*")
 
 
+SPARSE = "(SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS priority, CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS cust FROM orders)"
+
 PAIRS: dict[str, tuple[Callable, str | None]] = {
     "sc1_scan": (text("SELECT region { r_regionkey, r_name }"), "SELECT r_regionkey, r_name FROM region"),
     "sc5_with_source": (text("WITH big = SELECT customer WHERE c_acctbal > 9000 { c_custkey, c_acctbal } SELECT big WHERE c_acctbal < 9500 { c_custkey }"), "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 AND c_acctbal < 9500"),
@@ -70,6 +76,22 @@ PAIRS: dict[str, tuple[Callable, str | None]] = {
     "fl8_subset": (text("SELECT nation WHERE ['a', 'b'] ⊂ ['b', 'a', 'c'] AND NOT (['a'] superset of ['a']) AND ['x'] subset or equal to ['x'] { n_nationkey }"), "SELECT n_nationkey FROM nation"),
     "fl9_boolean": (text("SELECT orders WHERE o_orderstatus = 'F' AND (o_totalprice > 400000 OR o_orderpriority = '1-URGENT') AND NOT (o_custkey < 100) { o_orderkey }"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice > 400000 OR o_orderpriority = '1-URGENT') AND NOT (o_custkey < 100)"),
     "fl10_arithmetic": (text("SELECT lineitem WHERE l_quantity * l_discount > 4.5 { l_orderkey, l_linenumber }"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity * l_discount > 4.5"),
+    "fl2_with_nulls": (text("SELECT sparse WHERE cust not= nil AND cust > 700 AND (priority = nil OR priority not= '5-LOW') { id, cust, priority }"), f"SELECT * FROM {SPARSE} WHERE cust > 700 AND (priority IS NULL OR priority <> '5-LOW')"),
+    "fl3_only_nulls": (text("SELECT sparse WHERE cust = nil AND NOT (priority = nil) { id, priority }"), f"SELECT id, priority FROM {SPARSE} WHERE cust IS NULL AND priority IS NOT NULL"),
+    "fl5_in_with_nulls": (text("SELECT sparse WHERE priority in ['1-URGENT', '2-HIGH'] { id }"), f"SELECT id FROM {SPARSE} WHERE coalesce(priority IN ('1-URGENT', '2-HIGH'), false)"),
+    "fl2_sql_nulls": (text("SELECT sparse WHERE cust > 700 AND priority not= '5-LOW' { id }", strict_nulls=False), f"SELECT id FROM {SPARSE} WHERE cust > 700 AND priority <> '5-LOW'"),
+    "fl6_in_list_field": (text("SELECT tagged WHERE 'red' in words OR 'bolt' in meta.words { p_partkey }"), "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') OR list_contains(string_split(p_name, ' '), 'bolt')"),
+    "fl7_literal_in_field": (text("SELECT tagged WHERE NOT ('small' in words) AND p_partkey in [1, 2, 3, 5, 8, 13] { p_partkey }"), "SELECT p_partkey FROM part WHERE p_name NOT LIKE '%small%' AND p_partkey IN (1, 2, 3, 5, 8, 13)"),
+    "ag1_group_with_nulls": (text("SELECT sparse GROUP BY priority { priority, n: count(id), some: count(cust) WHERE cust not= nil, top: max(cust) WHERE cust not= nil }"), f"SELECT priority, count(*) AS n, count(cust) AS some, max(cust) AS top FROM {SPARSE} GROUP BY priority"),
+    "ag7_rollup_names": (text("SELECT orders GROUP BY ROLLUP(o_orderstatus) { o_orderstatus, status: min(o_orderstatus), n: count(o_orderkey) }"), "SELECT o_orderstatus, min(o_orderstatus) AS status, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderstatus)"),
+    "ag15_percentile_wide": (text("SELECT orders GROUP BY o_orderstatus { o_orderstatus, low: percentile(o_orderkey + 9007199254740992, 0.1), mid: percentile(o_orderkey + 9007199254740992, 0.5), name: percentile(o_orderpriority, 0.5) }"), "SELECT o_orderstatus, quantile_disc(o_orderkey + 9007199254740992, 0.1) AS low, quantile_disc(o_orderkey + 9007199254740992, 0.5) AS mid, quantile_disc(o_orderpriority, 0.5) AS name FROM orders GROUP BY o_orderstatus"),
+    "ag15_percentile_flat": (text("SELECT lineitem { p: percentile(l_orderkey, 0.25), q: percentile(l_extendedprice, 0.75) }"), "SELECT quantile_disc(l_orderkey, 0.25) AS p, quantile_disc(l_extendedprice, 0.75) AS q FROM lineitem"),
+    "ex3_power_of_columns": (text("SELECT nation { n_nationkey, p: string((n_regionkey + 2) ** (n_nationkey - 12)) }"), "SELECT n_nationkey, CASE WHEN n_nationkey < 12 THEN '1/' ELSE '' END || CAST(CAST(power(n_regionkey + 2, abs(n_nationkey - 12)) AS BIGINT) AS VARCHAR) AS p FROM nation"),
+    "ex8_int_of_quotients": (text("SELECT part { p_partkey, a: int((p_partkey * 100000000 - 1) / 100000000), b: int((1 - p_partkey * 100000000) / 100000000), c: int(p_partkey / -7) }"), "SELECT p_partkey, greatest(p_partkey - 1, 0) AS a, -greatest(p_partkey - 1, 0) AS b, -(p_partkey // 7) AS c FROM part"),
+    "ex9_exact_double": (text("SELECT part WHERE p_partkey < 40 { p_partkey, x: string(exact(inexact(p_size) / 8)) }"), "SELECT p_partkey, CAST(p_size // gcd(p_size, 8) AS VARCHAR) || CASE WHEN p_size % 8 = 0 THEN '' ELSE '/' || CAST(8 // gcd(p_size, 8) AS VARCHAR) END AS x FROM part WHERE p_partkey < 40"),
+    "fe9_comments": (text("# a comment\n;with gone = SELECT nowhere { x, SELECT y { z } }\nselect nation where `n_name` = \"NATION_3\" or n_name = 'NATION_7' {\n  n_name\n  n_nationkey,\n}"), "SELECT n_name, n_nationkey FROM nation WHERE n_name IN ('NATION_3', 'NATION_7')"),
+    "wn10_clamped_parts": (text("SELECT supplier { s_suppkey, n: count(s_suppkey) OVER PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING, t: max(s_suppkey) OVER PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING }"), "SELECT s_suppkey, greatest(1, count(*) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) AS n, coalesce(max(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), s_suppkey) AS t FROM supplier"),
+    "wn5_percentile_frame": (text("SELECT supplier { s_suppkey, p: percentile(s_suppkey, 0.5) OVER PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW }"), "SELECT s_suppkey, quantile_disc(s_suppkey, 0.5) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS p FROM supplier"),
     "jn1_uncorrelated": (text("SELECT region { r_name, SELECT nation WHERE n_regionkey = 1 { n_name } }", exploded("nation")), "SELECT r_name, n_name FROM region, nation WHERE n_regionkey = 1"),
     "jn2_nested": (text("SELECT nation { n_name, SELECT supplier WHERE s_nationkey = nation.n_nationkey { s_suppkey, s_acctbal } }", exploded("supplier")), "SELECT n_name, s_suppkey, s_acctbal FROM nation JOIN supplier ON s_nationkey = n_nationkey"),
     "jn3_theta": (text("SELECT region { r_name, SELECT nation WHERE n_nationkey > region.r_regionkey AND n_regionkey not= region.r_regionkey { n_name } }", exploded("nation")), "SELECT r_name, n_name FROM region JOIN nation ON n_nationkey > r_regionkey AND n_regionkey <> r_regionkey"),
