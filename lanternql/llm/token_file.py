@@ -64,8 +64,11 @@ _BYTE_NAMES = _byte_names()
 
 def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that begin at ``starts``, one after the other."""
-    ends = np.cumsum(sizes)
-    return flat[np.arange(ends[-1] if ends.size else 0) + np.repeat(starts - (ends - sizes), sizes)]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    total = int(ends[-1]) if ends.size else 0
+    at = np.repeat((starts - (ends - sizes)).astype(np.int32 if max(total, flat.size) < 1 << 31 else np.int64), sizes)
+    at += np.arange(total, dtype=at.dtype)
+    return flat[at]
 
 
 class Kept:
@@ -86,11 +89,10 @@ class Kept:
             self.forget()
         if len(new):
             sizes, ids = self.encode(new)
-            self.starts = np.concatenate((self.starts, self.ids.size + np.cumsum(sizes) - sizes))
+            self.starts = np.concatenate((self.starts, self.ids.size + np.cumsum(sizes, dtype=np.int64) - sizes))
             self.sizes = np.concatenate((self.sizes, sizes.astype(np.int32)))
             self.ids = np.concatenate((self.ids, ids))
-        sizes = self.sizes[at].astype(np.int64)
-        return sizes, _ragged(self.ids, self.starts[at], sizes)
+        return self.sizes[at], _ragged(self.ids, self.starts[at], self.sizes[at])
 
 
 class Encoder:
@@ -131,15 +133,18 @@ class Encoder:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        named = _BETWEEN.join(pieces.to_pylist()).encode().decode("latin-1").translate(_BYTE_NAMES).split(_BYTE_NAMES[ord(_BETWEEN)])
         stop, merge = _BYTE_NAMES[ord(_STOP)], self.merge
-        sizes: list[int] = []
-        ids: list[int] = []
-        for p in named:
-            got = merge(p) if p != stop else ()
-            sizes.append(len(got))
-            ids += [t.id for t in got]
-        return np.array(sizes, np.int64), np.array(ids, self.kind)
+        sizes, ids = np.zeros(len(pieces), np.int32), [np.zeros(0, self.kind)]
+        for at in range(0, len(pieces), 1 << 14):
+            names = _BETWEEN.join(pieces.slice(at, 1 << 14).to_pylist()).encode().decode("latin-1").translate(_BYTE_NAMES)
+            some: list[int] = []
+            for i, p in enumerate(names.split(_BYTE_NAMES[ord(_BETWEEN)]), at):
+                if p != stop:
+                    got = merge(p)
+                    sizes[i] = len(got)
+                    some += [t.id for t in got]
+            ids.append(np.array(some, self.kind))
+        return sizes, np.concatenate(ids)
 
     def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # A word is a piece with the space before it; other chunks are split together, each followed by a mark.
@@ -150,7 +155,7 @@ class Encoder:
         sizes, ids = self.pieces(column)
         words = word.sum()
         last = np.flatnonzero(pc.equal(column, _STOP).to_numpy(zero_copy_only=False))
-        upto = np.concatenate(([0], np.cumsum(sizes)))
+        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         starts, ends = np.empty(word.size, np.int64), np.empty(word.size, np.int64)
         starts[word], ends[word] = upto[:words], upto[1 : words + 1]
         starts[~word], ends[~word] = np.concatenate(([upto[words]], upto[last + 1]))[: last.size], upto[last + 1]
@@ -175,7 +180,7 @@ class Encoder:
             lists = pa.array([self.spaces(t) for t in marked.to_pylist()], pa.list_(pa.string())) if mine is uneven else pc.split_pattern(marked, " ")
             sizes, ids = self.chunks(lists.flatten())
             offsets = lists.offsets.to_numpy()
-            ends = np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]].tolist()
+            ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[offsets - offsets[0]].tolist()
             for i, a, z in zip(np.flatnonzero(mine).tolist(), ends, ends[1:]):
                 out[i] = ids[a:z]
         return out
