@@ -47,8 +47,9 @@ PLAIN = r"\n\x20-\x7e\xa1-\xac\xae-\xffĀ-ſ‐-‧‰-›€"
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 #: Marks that plain texts don't hold: the start of a text, the end of a chunk, and what stands between pieces.
 _FIRST, _STOP, _BETWEEN = "\x01", "\x00", "\x02"
-#: How a byte-level BPE vocabulary of this kind splits such texts before merging.
-PIECES = rf"{_STOP}| ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_STOP}{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
+#: How a byte-level BPE vocabulary of this kind splits such texts before merging; white space at a text's end is followed
+#: by the mark alone.
+PIECES = rf"{_STOP}| ?[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBER}]+| ?[^\s{_STOP}{_LETTER}{_NUMBER}]+|\s+(?![^\s{_STOP}])|\s+"
 
 
 def _byte_names() -> dict[int, str]:
@@ -204,34 +205,54 @@ def elias_fano(ends: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
     return width, low, np.packbits(unary, bitorder="little").tobytes(), ones[::STEP].astype("<u4").tobytes()
 
 
+def _bits() -> np.ndarray:
+    """The place of the k-th set bit of each byte."""
+    out = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        ones = [j for j in range(8) if byte >> j & 1]
+        out[byte, : len(ones)] = ones
+    return out
+
+
+_BIT = _bits()
+
+
 class Boundaries:
-    """The Elias-Fano sequence as read back: ``select(i)`` gives the i-th value, ``all()`` every one."""
+    """The Elias-Fano sequence as read back: ``select(i)`` gives the i-th value, ``selects`` those at many places, and
+    ``all()`` decodes it without the marks."""
 
     def __init__(self, n: int, width: int, low: bytes, high: bytes, marks: bytes):
         self.n, self.width, self.low, self.high = n, width, low, high
         self.marks = np.frombuffer(marks, "<u4")
 
-    def _low(self, i: int) -> int:
+    def selects(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places: from the mark before each on, whole bytes are passed over until the one that
+        holds its bit, all places in step; a mark is at most ``STEP`` bits before."""
+        if at.size and not (0 <= int(at.min()) and int(at.max()) < self.n):
+            raise IndexError(at)
+        high = np.frombuffer(self.high, np.uint8)
+        begin = self.marks[at // STEP].astype(np.int64)
+        left = at % STEP
+        byte = begin // 8
+        here = high[byte] & (0xFF << (begin % 8) & 0xFF).astype(np.uint8)
+        going = np.flatnonzero(left >= np.bitwise_count(here))
+        while going.size:
+            left[going] -= np.bitwise_count(here[going])
+            byte[going] += 1
+            here[going] = high[byte[going]]
+            going = going[left[going] >= np.bitwise_count(here[going])]
+        ones = byte * 8 + _BIT[here, left]
+        return ((ones - at) << self.width) | self._lows(at)
+
+    def _lows(self, at: np.ndarray) -> np.ndarray:
         if not self.width:
-            return 0
-        at = i * self.width
-        part = int.from_bytes(self.low[at // 8 : (at + self.width + 7) // 8], "little")
-        return (part >> (at % 8)) & ((1 << self.width) - 1)
+            return np.zeros(at.size, np.int64)
+        places = at[:, None] * self.width + np.arange(self.width)
+        bits = np.frombuffer(self.low, np.uint8)[places >> 3] >> (places & 7) & 1
+        return (bits.astype(np.int64) << np.arange(self.width)).sum(axis=1)
 
     def select(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.marks[i // STEP]), i % STEP
-        byte = at // 8
-        here = self.high[byte] >> (at % 8) << (at % 8)
-        while left >= here.bit_count():
-            left -= here.bit_count()
-            byte += 1
-            here = self.high[byte]
-        for _ in range(left):
-            here &= here - 1
-        one = byte * 8 + (here & -here).bit_length() - 1
-        return ((one - i) << self.width) | self._low(i)
+        return int(self.selects(np.array([i], np.int64))[0])
 
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
@@ -299,7 +320,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], f"<u{r['bytes_per_id']}")
-                ends = Boundaries(r["n_docs"], r["width"], r["low"], r["high"], r["marks"]).all()
+                ends = Boundaries(r["n_docs"], r["width"], r["low"], r["high"], r["marks"]).selects(np.arange(r["n_docs"]))
                 starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
                 wide = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(wide[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist())]

@@ -82,3 +82,40 @@ def test_export(spark, tmp_path, tokenizer):
     token_file.export(spark, path, str(tmp_path))
     raw = b"".join(p.read_bytes() for p in sorted(tmp_path.glob("*.ids")))
     assert sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows) * 2 == len(raw)
+
+
+@pytest.mark.parametrize("steps", [[0] * 500, [10**6] * 300, [0] * 200 + [5_000_000] + [0, 1] * 200, [1] * 64, [3]])
+def test_selects_agree_with_plain_decoding(steps):
+    ends = np.cumsum(steps)
+    b = token_file.Boundaries(ends.size, *token_file.elias_fano(ends))
+    assert (b.selects(np.arange(ends.size)) == ends).all() and (b.all() == ends).all()
+    some = np.array([ends.size - 1, 0, ends.size // 2])
+    assert (b.selects(some) == ends[some]).all()
+
+
+def test_other_kinds_of_tokenizers_go_to_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(path)
+    encoder = token_file.Encoder(path)
+    texts = [r[1] or "" for r in cases.documents(20)] + ["Don't  Stop <|endoftext|> here"]
+    assert not encoder.by_chunks
+    assert encoder(texts) == [np.array(other.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes() for t in texts]
+
+
+def test_forgetting_changes_no_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_file, "CACHE_STRINGS", 50)
+    encoder = token_file.Encoder(PATH)
+    for r in cases.documents(20):
+        assert encoder([r[1] or ""]) == [ids_of(tokenizer, r[1] or "")]
+
+
+def test_runs_of_white_space(tokenizer, encoder):
+    texts = ["def f(x):\n    if x:\n        return 1\n\n\nend  ", "  two", " one", "a \n b", "trail\n", "trail ", "x\n\n y", "\n\n", "   ", "a  b c", "tab\there", "nb\u00a0sp \u00a0 x"]
+    assert encoder(texts) == [ids_of(tokenizer, t) for t in texts]
+    assert encoder(texts[::-1]) == [ids_of(tokenizer, t) for t in texts[::-1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n a.1é'", max_size=12), min_size=1, max_size=6))
+def test_runs_of_white_space_in_batches(tokenizer, encoder, texts):
+    assert encoder(texts) == [ids_of(tokenizer, t) for t in texts]
