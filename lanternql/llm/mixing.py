@@ -15,6 +15,8 @@ Columns besides those named here pass through ``mix`` unchanged, whatever their
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,7 +63,11 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs:
     """One row a document: doc_id, source, size, source_size, target, taken.  Reads the texts once."""
     key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
-    rows = rows.withColumn("bucket", F.substring("key", 1, RANGE_DIGITS))
+    # Rows without an id share one key; they are dealt out by size, which comes next in order.
+    nameless = hashlib.md5(f"{SEED}:".encode()).hexdigest()
+    side = F.when(F.col("key") < nameless, "a").when(F.col("key") > nameless, "c").otherwise(F.concat(F.lit("b"), F.lpad(F.col("size").cast("string"), 19, "0")))
+    start = F.substring("key", 1, RANGE_DIGITS)
+    rows = rows.withColumn("bucket", F.when(start == nameless[:RANGE_DIGITS], F.concat(start, side)).otherwise(start))
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows, _ = materialized(rows.withColumn("upto", F.sum("size").over(within)), "mix")
 
@@ -90,14 +96,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     names = docs.columns
     mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
     plan = plan_mix(docs, weights, share, max_epochs).groupBy("doc_id", "source", "size").agg(
-        F.min("taken").alias("taken"), F.sum("taken").alias("all_taken"), F.count(F.lit(1)).alias("copies")
+        F.min("taken").alias("taken"), F.sum("taken").alias("all_taken"), F.count(F.lit(1)).alias("copies"), F.max("target").alias("target")
     )
     got = mine.join(
         plan, F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
     )
-    # Equal rows share their words evenly; a remainder below one row's size is left out.
-    words = F.when(F.col("copies") == 1, F.col("taken")).otherwise(F.floor(F.col("all_taken") / F.col("copies")))
-    full = F.when(F.col("size") > 0, F.floor(words / F.col("size"))).otherwise(F.lit(1)).cast("int")
+    # Rows of equal id, source and size share their words evenly, the first of them a word more if that doesn't go up.
+    one, many = got.where("copies = 1").withColumn("words", F.col("taken")), got.where("copies > 1")
+    place = Window.partitionBy("_id", "_source", "_size").orderBy(F.xxhash64("row.text"), F.to_json("row"))
+    over = (F.row_number().over(place) <= F.col("all_taken") % F.col("copies")).cast("long")
+    got = one.union(many.withColumn("words", F.floor(F.col("all_taken") / F.col("copies")).cast("long") + over))
+    words = F.col("words")
+    full = F.when(F.col("size") > 0, F.floor(words / F.col("size"))).when(F.col("target") > 0, 1).otherwise(0).cast("int")
     rest = F.when(F.col("size") > 0, words % F.col("size")).otherwise(F.lit(0)).cast("long")
     pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     got = got.select("row", F.explode(pieces).alias("n"))

@@ -102,3 +102,18 @@ def test_sql(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     assert got == sorted(c.sql(mixing.OP4_SQL).fetchall())
+
+
+def test_equal_rows_share_all_their_words(spark):
+    rows = [(1, "a b c d e", "en", "s", 0)] * 7 + [(None, f"w{i} x y", "en", "s", 0) for i in range(9)] + [(2, "", "en", "s", 0), (3, " ", "en", "t", 0)]
+    out = mixing.mix(cases.frame(spark, rows)).collect()
+    taken = sum(n_words(r.text) for r in out if r.source == "s")
+    assert taken == sum(r.taken for r in mixing.plan_mix(cases.frame(spark, rows)).collect() if r.doc_id != 3)
+    # A document without words stays if its source is taken at all; source t has no words, so its target is 0.
+    assert [r.doc_id for r in out if n_words(r.text) == 0] == [2]
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    rows = [(None, "w " * (1 + i % 40), "en", "s", 0) for i in range(200)] + [(i, "a b c", "en", "s", 0) for i in range(300)]
+    got = sorted((str(r.doc_id), r["size"], r.source_size, r.target, r.taken) for r in mixing.plan_mix(cases.frame(spark, rows)).collect())
+    assert got == brute(rows)
