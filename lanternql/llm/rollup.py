@@ -3,8 +3,8 @@
 Totals by source, language and tokenizer version are sums of signed deltas: an insert adds one document
 and its tokens, a delete takes them off, a revision takes off the old count and adds the new one.  A batch
 of deltas is pre-aggregated to one row a group and committed as one folder of the store, named by the
-batch's id.  A batch whose folder has its success mark is committed, and committing it again changes
-nothing; a batch that broke off shows nothing and can be run again.  Totals are the sum over the
+batch's id.  It is written aside and renamed into place, so a batch shows whole or not at all and one that broke
+off can be run again; committing it again changes nothing, and with other deltas is an error.  Totals are the sum over the
 committed batches, so order doesn't matter, and ``compact`` folds many batches into one.
 
 Defined results: a null text has 0 tokens and counts as a document; null source or language are groups of
@@ -15,13 +15,15 @@ nothing; groups whose documents and tokens are all taken back are left out of ``
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, hadoop_path, materialized, shared_path, table, to_python
+from .common import discard, exists, hadoop_path, materialized, shared_path, table, to_python
 
 KEYS = ("source", "lang", "tokenizer_version")
 DDL = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -98,27 +100,101 @@ class Rollup:
         return f"{self.path}/batch-{hashlib.sha256(batch.encode()).hexdigest()[:32]}"
 
     def committed(self, batch: str) -> bool:
-        return exists(self.spark, self._folder(batch) + "/_SUCCESS")
+        return batch in self._batches()[1]
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Add a batch of deltas (KEYS, n_docs, n_tokens) once; False if it is in already."""
-        if self.committed(batch):
-            return False
-        sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(self._folder(batch))
-        return True
-
-    def _batches(self) -> list[str]:
+        """Add a batch of deltas (KEYS, n_docs, n_tokens) once; False if it is in already, and an error if it is in
+        with other deltas.
+
+        The sums are written aside and renamed into place, which at most one of several writers can do.
+        """
+        sums = self._sums(deltas)
+        aside = f"{self.path}/writing-{uuid.uuid4().hex}"
+        sums.write.parquet(aside)
+        # One row a group: the sum of its rows' hashes tells one content from another.
+        mark = self.spark.read.schema(DDL).parquet(aside).agg(F.sum(F.xxhash64(*KEYS, "n_docs", "n_tokens").cast("decimal(38,0)")).alias("h")).first().h
+        fs, folder = hadoop_path(self.spark, self._folder(batch))
+        path = hadoop_path(self.spark, aside)[1]
+        self._note(path, {batch: str(mark)})
+        known = self._batches()[1].get(batch)
+        if known is None:
+            done = hadoop_path(self.spark, f"{self._folder(batch)}/_SUCCESS")[1]
+            if fs.exists(folder) and not fs.exists(done):
+                fs.delete(folder, True)
+            if not fs.exists(folder):
+                fs.rename(path, folder)
+                inside = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, path.getName())
+                if fs.exists(inside):  # another writer was first, and the rename put this one into its folder
+                    fs.delete(inside, True)
+                elif not fs.exists(path):
+                    return True
+            known = self._batches()[1].get(batch)
+        fs.delete(path, True)
+        if known != str(mark):
+            raise ValueError(f"batch {batch!r} is committed with other deltas")
+        return False
+
+    def _note(self, folder, marks: dict[str, str]) -> None:
+        """Write down which batches a folder holds, and the marks of their contents."""
+        fs, _ = hadoop_path(self.spark, self.path)
+        out = fs.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_batches"))
+        try:
+            out.write(bytearray(json.dumps(marks).encode()))
+        finally:
+            out.close()
+
+    def _batches(self) -> tuple[list[str], dict[str, str]]:
+        """The folders that count, and the marks of all batches committed.  Once a compacted folder stands, those it
+        holds no longer count, deleted or not."""
         fs, p = hadoop_path(self.spark, self.path)
         if not fs.exists(p):
-            return []
-        return sorted(s.getPath().toString() for s in fs.listStatus(p) if exists(self.spark, s.getPath().toString() + "/_SUCCESS"))
+            return [], {}
+        jvm = self.spark.sparkContext._jvm
+        found = {}
+        for status in fs.listStatus(p):
+            name = status.getPath().getName()
+            if name.startswith(("batch-", "compact-")) and exists(self.spark, f"{self.path}/{name}/_SUCCESS"):
+                stream = fs.open(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_batches"))
+                try:
+                    found[name] = json.loads(bytes(stream.readAllBytes()))
+                finally:
+                    stream.close()
+        # The larger of two folders that hold the same batch stands for both.
+        order = sorted(found, key=lambda n: (-len(found[n]), n))
+        counted, marks = [], {}
+        for name in order:
+            if not found[name].keys() <= marks.keys():
+                counted.append(f"{self.path}/{name}")
+                marks |= found[name]
+        return sorted(counted), marks
+
+    def compact(self) -> int:
+        """Fold all committed batches into one folder; returns how many folders it stands for.
+
+        It is written aside and renamed like a batch.  From then on the folders it holds don't count, so breaking off
+        before they are deleted changes no total.  One process compacts at a time; commits may go on meanwhile.
+        """
+        folders, marks = self._batches()
+        if len(folders) < 2:
+            return 0
+        aside = f"{self.path}/writing-{uuid.uuid4().hex}"
+        self._sums(self.spark.read.schema(DDL).parquet(*folders)).write.parquet(aside)
+        fs, path = hadoop_path(self.spark, aside)
+        self._note(path, marks)
+        fs.rename(path, hadoop_path(self.spark, f"{self.path}/compact-{uuid.uuid4().hex}")[1])
+        for f in folders:
+            discard(self.spark, f)
+        return len(folders)
+
+    @staticmethod
+    def _sums(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.where("n_docs <> 0 or n_tokens <> 0")
 
     def totals(self) -> DataFrame:
-        folders = self._batches()
+        folders, _ = self._batches()
         rows = self.spark.read.schema(DDL).parquet(*folders) if folders else self.spark.createDataFrame([], DDL)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        return self._sums(rows)
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

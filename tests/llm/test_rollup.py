@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pytest
 
 from lanternql.llm import common
 from lanternql.llm import rollup as q
@@ -62,3 +63,37 @@ def test_sql(spark):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     got = q.op10_token_rollup(spark, d)
     assert sorted(map(tuple, got.collect())) == sorted(c.sql(q.OP10_SQL).project(", ".join(got.columns)).fetchall())
+
+
+def test_compaction_changes_no_total(spark):
+    rows = cases.documents()
+    store = q.Rollup(spark, common.shared_path(spark, "test-rollup"))
+    assert store.compact() == 0
+    counts = q.counted(cases.frame(spark, rows))
+    for n in range(3):
+        store.commit(f"b{n}", q.inserts(q.counted(cases.frame(spark, rows[n::3]))))
+    before = [f for f, _ in [(f, 0) for f in store._batches()[0]]]
+    assert store.compact() == 3 and len(store._batches()[0]) == 1 and totals(store) == brute(rows)
+    assert not store.commit("b1", q.inserts(q.counted(cases.frame(spark, rows[1::3])))) and totals(store) == brute(rows)
+    store.commit("more", q.deletes(counts))
+    assert totals(store) == {} and store.compact() == 2 and totals(store) == {} and len(before) == 3
+
+
+def test_folders_left_over_by_a_broken_compaction_do_not_count(spark, monkeypatch):
+    rows = cases.documents(20)
+    store = q.Rollup(spark, common.shared_path(spark, "test-rollup"))
+    for n in range(2):
+        store.commit(f"b{n}", q.inserts(q.counted(cases.frame(spark, rows[n::2]))))
+    with monkeypatch.context() as m:
+        m.setattr(q, "discard", lambda spark, path: None)
+        store.compact()
+    assert totals(store) == brute(rows) and len(store._batches()[0]) == 1
+
+
+def test_other_deltas_under_a_known_batch_are_an_error(spark):
+    rows = cases.documents(20)
+    store = q.Rollup(spark, common.shared_path(spark, "test-rollup"))
+    store.commit("one", q.inserts(q.counted(cases.frame(spark, rows))))
+    with pytest.raises(ValueError):
+        store.commit("one", q.inserts(q.counted(cases.frame(spark, rows[1:]))))
+    assert totals(store) == brute(rows)
