@@ -5,6 +5,9 @@ comment marks don't count.  A candidate is a run of words, wherever it stands; i
 template's give 2 * common / (both sizes).  Since common is at most the smaller size, a candidate can only
 reach the threshold t if ``smaller / larger >= t / (2 - t)``.
 
+A template may hold another one nearly whole, as BSD-3-Clause does BSD-2-Clause.  A run of the smaller one inside a run
+of the larger one gives way if that has at least half of what the larger template has beyond the smaller one.
+
 Runs: a best run begins and ends with bigrams of the template, as others at its ends only lower the coefficient.
 From every such bigram on the run grows until it is too large; beginnings after which too few of the template's
 bigrams follow within the largest size can't reach the threshold and are passed over.  Documents are scanned whole.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import table, to_python
 
 THRESHOLD = 0.8
+#: Share of a template's bigrams from which another template is taken to hold it.
+HELD = 0.95
 
 #: Texts and notices of common public licences, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -61,7 +66,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
@@ -97,9 +105,12 @@ class Scanner:
                         self.by_bigram.setdefault(g, []).append(len(self.templates))
                     self.templates.append((name, grams, size, size * ratio, size / ratio))
         self.grams = self.by_bigram.keys()
+        #: For each template the smaller ones of other licences that it holds all but whole.
+        held = {t: {u for u, (name, own, size, _, _) in enumerate(self.templates) if name != other and size < most and sum((own & grams).values()) >= HELD * size} for t, (other, grams, most, _, _) in enumerate(self.templates)}
+        self.holding = {t: us for t, us in held.items() if us}
 
-    def best_run(self, grams, hits, at: int, t: int) -> tuple[float, int]:
-        """The best coefficient of a run from ``hits[at]`` on with template t, and its last bigram.
+    def best_run(self, grams, hits, at: int, t: int) -> tuple[float, int, int]:
+        """The best coefficient of a run from ``hits[at]`` on with template t, its last bigram, and how many it shares.
 
         ``hits``: the places in ``grams``, ascending, of bigrams of the template.
         """
@@ -107,7 +118,7 @@ class Scanner:
         first = hits[at]
         common = 0
         left = dict(own)
-        best = (0.0, first)
+        best = (0.0, first, 0)
         for k in range(at, len(hits)):
             last = hits[k]
             total = last - first + 1
@@ -118,7 +129,7 @@ class Scanner:
                 left[g] -= 1
                 common += 1
                 if total >= least and 2 * common / (total + size) > best[0]:
-                    best = (2 * common / (total + size), last)
+                    best = (2 * common / (total + size), last, common)
         return best
 
     def __call__(self, text: str) -> list[tuple[str, float, int, int]]:
@@ -135,15 +146,15 @@ class Scanner:
             if g in shared:
                 for t in self.by_bigram[g]:
                     places[t].append(p)
-        runs: set[tuple[float, str, int, int]] = set()
+        runs: set[tuple[float, str, int, int, int, int]] = set()
         for t, hits in places.items():
             name, _, _, least, most = self.templates[t]
             more = math.ceil(least - 1e-9) - 1  # common is at least ``least`` in a run that reaches the threshold
             for at in range(len(hits) - more):
                 if hits[at + more] - hits[at] + 1 <= most:
-                    score, last = self.best_run(grams, hits, at, t)
+                    score, last, common = self.best_run(grams, hits, at, t)
                     if score >= self.threshold:
-                        runs.add((-score, name, hits[at], last))
+                        runs.add((-score, name, hits[at], last, common, t))
         if not runs:
             return []
         starts = [m.start() for m in _WORD.finditer(text)]
@@ -151,7 +162,10 @@ class Scanner:
         line = lambda w: bisect_right(breaks, starts[w])
         taken: set[int] = set()
         found: dict[str, tuple[str, float, int, int]] = {}
-        for score, name, first, last in sorted(runs):
+        holders = [r for r in runs if r[5] in self.holding]
+        for score, name, first, last, common, t in sorted(runs):
+            if any(t in self.holding[h] and a <= first and last <= z and 2 * (c - common) >= self.templates[h][2] - self.templates[t][2] for _, _, a, z, c, h in holders):
+                continue
             here = range(first, last + 2)  # a bigram's second word is the run's too
             if taken.isdisjoint(here):
                 taken.update(here)

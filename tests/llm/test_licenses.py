@@ -125,3 +125,23 @@ def test_related_licences_are_told_apart():
     texts = {name: gpl.replace("GNU General", f"GNU {word} General") for name, word in [("LGPL-3.0", "Lesser"), ("AGPL-3.0", "Affero")]} | {"GPL-3.0": gpl}
     for name, text in texts.items():
         assert [(r[0], r[1]) for r in q.Scanner()("intro " + text + " more words")] == [(name, pytest.approx(1))]
+
+
+def test_a_licence_that_holds_another():
+    two, three = q.TEMPLATES["BSD-2-Clause"][1], q.TEMPLATES["BSD-3-Clause"][1]
+    changed = three.replace("specific prior written permission", "prior permission in writing")
+    for text, name in [(two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (changed, "BSD-3-Clause")]:
+        assert [r[0] for r in q.Scanner()("intro words " + text + " and more words")] == [name]
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        text = "\n".join(["Released under the MIT License.", "", "some other words of the text", ""] * n)
+        start = time.process_time()
+        assert [r[0] for r in q.Scanner()(text)] == ["MIT"]
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(25_000) < 40 * max(0.02, seconds(2_500))  # 100,000 lines
