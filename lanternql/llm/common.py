@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, exists, hadoop_path, materialized, shared_dir, shared_path
 
-__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "Numbers", "per_worker", "shared_dir", "shared_path", "table", "text_of", "to_python", "word_count"]
+__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "Numbers", "per_worker", "shared_dir", "shared_path", "spread_join", "table", "text_of", "to_python", "word_count"]
 
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and return.
 #: ``bytes.split()`` splits on exactly these six, which the Python parts rely on.
@@ -34,6 +34,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(shrunk), F.lit(0)).cast("long")
 
 
+#: The most keys that ``spread_join`` sends to all executors.
+HOT_KEYS = 4096
+
+
+def spread_join(rows: DataFrame, sides: DataFrame, on: str, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with ``sides``, which has one row a ``key`` and in ``weight`` how many of the ``total`` rows have it.
+
+    Keys of more than 1 / ``HOT_KEYS`` of all rows are fewer than ``HOT_KEYS``, so their sides go to all executors and
+    their rows stay where they are; the others are joined by hash, and none is more than that part of the rows.
+    ``key`` and ``weight`` are dropped.  Rows without a side are left out.
+    """
+    hot = F.col(weight) * F.lit(HOT_KEYS) > F.lit(total)
+    few = sides.where(hot).drop(weight)
+    same = F.col(on) == F.col(key)
+    here = rows.join(F.broadcast(few), same).drop(key)
+    rest = rows.join(F.broadcast(few.select(key)), same, "left_anti").join(sides.where(~hot).drop(weight), same).drop(key)
+    return here.unionByName(rest)
+
+
 #: Bytes of a batch of rows on its way to Python.
 BATCH_BYTES = 8 << 20
 
@@ -89,7 +108,7 @@ class Numbers:
             self.known = self.known[:0]
         distinct = strings.dictionary_encode()
         place = pc.index_in(distinct.dictionary, value_set=self.known)
-        at = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
         missing = place.is_null()
         new = distinct.dictionary.filter(missing)
         if len(new):

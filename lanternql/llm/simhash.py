@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialized, table, to_python
+from .common import materialized, spread_join, table, to_python
 from .graph import components
 
 BITS = 64
@@ -181,13 +181,16 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, hot: int = HOT)
     """(doc_id, fp, component_id, root): component_id is the smallest doc_id reachable over links of fingerprints
     that differ in at most ``radius`` bits, root a fingerprint that names the group."""
     fps, _ = materialized(fingerprints(docs), "fingerprints")
-    nodes, _ = materialized(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes, _ = materialized(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "nodes")
     root = components(near_links(nodes.select("fp"), radius, hot))
     # A root is no node of its own rows; it joins its group through itself.
-    member = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    label = member.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    label = member.join(label, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id", "root")
-    return fps.join(label, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", "root")
+    member = nodes.join(root, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    member, _ = materialized(member, "members")
+    sizes = member.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    label = member.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    # Neither a large group nor a fingerprint of many copies lands in one task.
+    label = spread_join(member, label, "root", "r", "n", sizes.nodes).select(F.col("fp").alias("f"), "component_id", "root", "copies")
+    return spread_join(fps, label, "fp", "f", "copies", sizes.rows).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:

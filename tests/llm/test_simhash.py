@@ -143,3 +143,13 @@ def test_keep_one(spark):
 def test_empty(spark):
     assert simhash.near_duplicate_groups(cases.empty(spark)).collect() == []
     assert simhash.keep_one(cases.empty(spark)).collect() == []
+
+
+def test_hot_groups_are_joined_apart(spark, monkeypatch):
+    from lanternql.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = [(i, "the same words again and again in one text", "en", "s", 0) for i in range(60)] + cases.documents(30)
+    got = simhash.near_duplicate_groups(cases.frame(spark, rows)).collect()
+    want = brute_components([(r[0], brute_fingerprint(r[1])) for r in rows])
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
