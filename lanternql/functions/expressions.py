@@ -204,14 +204,14 @@ class Scope:
 
     def call(self, e: ast.Call, facts) -> Value:
         if e.name in AGGREGATES:
-            raise QueryError(f"{e.name}(...) is an aggregate function -- only valid inside GROUP BY/HAVING or a select over groups")
+            raise QueryError(f"aggregate {e.name}(...) is only valid inside GROUP BY or HAVING")
         if e.distinct:
-            raise QueryError("distinct is only valid inside count(distinct ...)")
+            raise QueryError("count alone takes DISTINCT")
         if e.name in RANKINGS:
             raise QueryError("unknown or unsupported function", e.name)
         if e.name in CASTS:
             if len(e.args) != 1:
-                raise QueryError(f"cast {e.name}/1 expects exactly one argument")
+                raise QueryError(f"wrong number of arguments for {e.name}/1: {len(e.args)}")
             return self.cast(e.name, self.value(e.args[0], facts))
         if f := self.options.functions.table.get(e.name):
             col = f(*[V.output(self.value(a, facts)) for a in e.args])

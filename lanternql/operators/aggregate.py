@@ -70,9 +70,9 @@ class GroupScope(Scope):
     def checked(self, e: ast.Call):
         arity = 2 if e.name == "percentile" else 1
         if len(e.args) != arity:
-            raise QueryError(f"aggregate {e.name}/{arity} expects exactly {'one argument' if arity == 1 else 'two arguments'}, got {len(e.args)}")
+            raise QueryError(f"wrong number of arguments for {e.name}/{arity}: {len(e.args)}")
         if e.distinct and e.name != "count":
-            raise QueryError("distinct is only valid inside count(distinct ...)")
+            raise QueryError("count alone takes DISTINCT")
         if any(map(has_aggregate, e.args)):
             raise QueryError(f"{e.name}(...) of an aggregate")
 
@@ -119,7 +119,7 @@ class GroupScope(Scope):
     def share(self, e: ast.Call) -> Value:
         p = self.value(e.args[1])
         if p.literal is not None and not 0 <= Fraction(p.literal) <= 1:
-            raise QueryError("percentile(...)'s own p must be between 0 and 1")
+            raise QueryError("the share of a percentile lies between 0 and 1")
         return p
 
     def percentile(self, e: ast.Call, v: Value, x: Column) -> Value:
@@ -135,7 +135,7 @@ class GroupScope(Scope):
 
     def rate(self, d: Value) -> Value:
         if not self.time_field:
-            raise QueryError("rate(...) needs a LAST <duration> OF <field> clause")
+            raise QueryError("rate(...) has no time column: give one by LAST, or as time_field")
         t = self.rows.field(self.time_field)
         at = micros(t)
         at = self.strict("rate", at, t, T.LongType())

@@ -216,7 +216,7 @@ class Lowering:
     def grouped(self, q, df, scope, keys, plain, nested, listed):
         windows = [i for i in plain if has_window(i.expr)]
         if windows and q.grouping != "plain":
-            raise QueryError("combining ROLLUP/CUBE with a window function isn't supported yet")
+            raise QueryError("unsupported", "a window over groups of ROLLUP/CUBE")
         for i in windows:
             if i.where is not None or has_aggregate(i.expr):
                 raise QueryError("unsupported", f"{i.alias}: a window over a group's rows; name the aggregate first")

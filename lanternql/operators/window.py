@@ -40,15 +40,15 @@ class WindowScope(Scope):
     def over(self, e: ast.Over) -> Value:
         name, args = e.call.name, e.call.args
         if name not in AGGREGATES and name not in RANKINGS:
-            raise QueryError(f"{name}(...) is not a valid window function")
+            raise QueryError(f"{name}(...) can't stand before OVER")
         if name in ("row_number", "rank") and args:
-            raise QueryError(f"{name}()/0 expects no arguments")
+            raise QueryError(f"wrong number of arguments for {name}/0: {len(args)}")
         if name not in ("row_number", "rank", "percentile") and len(args) != 1:
-            raise QueryError(f"{name}/1 expects exactly one argument")
+            raise QueryError(f"wrong number of arguments for {name}/1: {len(args)}")
         if name == "percentile" and len(args) != 2:
-            raise QueryError(f"aggregate percentile/2 expects exactly two arguments, got {len(args)}")
+            raise QueryError(f"wrong number of arguments for percentile/2: {len(args)}")
         if e.call.distinct and name != "count":
-            raise QueryError("distinct is only valid inside count(distinct ...)")
+            raise QueryError("count alone takes DISTINCT")
         parts = [F.col(f"`{k}`") for k in self.carried] + [V.output(self.value(p)) for p in e.partition]
         order = [key(self.value(o.expr), o.desc) for o in e.order]
         base = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
@@ -90,7 +90,7 @@ class WindowScope(Scope):
     def share(self, e) -> Value:
         p = self.value(e)
         if p.literal is not None and not 0 <= p.literal <= 1:
-            raise QueryError("percentile(...)'s own p must be between 0 and 1")
+            raise QueryError("the share of a percentile lies between 0 and 1")
         return p
 
     def looked_up(self, v: Value, x: Column, parts: list[Column], share: Value | None) -> Value:
@@ -190,7 +190,7 @@ class WindowScope(Scope):
 
     def rate(self, d: Value, e: ast.Over, rows) -> Value:
         if not self.time_field:
-            raise QueryError("rate(...) needs a LAST <duration> OF <field> clause")
+            raise QueryError("rate(...) has no time column: give one by LAST, or as time_field")
         at = micros(self.field(self.time_field))
         low, high = self.bounds(e.frame)
         if low > high or high == _WHOLE[0] or low == _WHOLE[1]:  # a row at most, in no time

@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 
 from lanternql.engine import Engine
 from lanternql.errors import QueryError
+from lanternql.plans import ast
+from lanternql.plans.parser import Extensions
 from tests.fixtures import catalog
 
 
@@ -340,3 +342,64 @@ def test_functions(spark):
         e.run("SELECT users { x: dxn(name) }")
     e.functions.register("dxn", lambda c: F.parse_json(F.concat(F.lit('{"n": "'), c, F.lit('"}'))))
     assert col(e.rows("SELECT users WHERE dxn(name).n = 'Bob' { n: dxn(name).n }").to_list(), "n") == ["Bob"]
+
+
+def test_variants_must_be_lowered_before_they_run(spark):
+    x = Extensions()
+    x.add("modifiers", "NEAREST", lambda parser: ast.Variant("nearest", (parser.need("ident").value, parser.need("ident").value)))
+    x.add("items", "SAMPLE", lambda parser: ast.Variant("sample", (parser.need("ident").value, parser.need("int").value)))
+    x.add("infixes", "SEARCH", lambda parser, left: ast.Variant("search", (left, parser.need("ident").value, parser.need("string").value)))
+    e = Engine(catalog(spark), extensions=x)
+    for text, reason in [("SELECT users NEAREST point { name }", "unresolved_variant"), ("SELECT users WHERE name SEARCH 'x' { name }", "unresolved_variant"), ("SELECT users { name, SAMPLE 5 }", "unsupported_body_item")]:
+        with pytest.raises(QueryError, match=reason):
+            e.run(text)
+
+
+def test_catalog_describes_itself(spark):
+    c = catalog(spark)
+    assert [f.name for f in c.describe("users")] == ["name", "age", "status"] and {"where", "window", "recursive"} <= c.capabilities()
+
+
+def test_percentiles_beyond_doubles(spark):
+    big = 9007199254740992
+    rows = [(k, big + v) for k, vs in {"a": (1, 3, 5), "b": (2, 2, 7, 9)}.items() for v in vs]
+    e = Engine(catalog(spark).register("t", spark.createDataFrame(rows, "k string, v long")))
+    assert e.rows("SELECT t GROUP BY k ORDER BY k { k, p: percentile(v, 0.5), q: percentile(v, 0.76) }").to_list() == [{"k": "a", "p": big + 3, "q": big + 5}, {"k": "b", "p": big + 2, "q": big + 9}]
+    assert e.rows("SELECT t GROUP BY ROLLUP(k) ORDER BY k { k, p: percentile(v, 1) }").to_list()[0]["p"] in (big + 5, big + 9)
+    got = e.rows("SELECT t ORDER BY v { p: percentile(v, 0.5) OVER PARTITION BY k, d: count(distinct v) OVER PARTITION BY k, low: percentile(v, 0) OVER ORDER BY v }").to_list()
+    assert {(r["p"], r["d"], r["low"]) for r in got} == {(big + 3, 3, big + 1), (big + 2, 3, big + 1)}
+
+
+def test_powers_and_whole_parts_of_columns(spark):
+    rows = [(3, -1, 99999999), (3, 40, -99999999), (2, 64, 100000000), (-1, 10**9 + 1, -100000001), (0, 0, 0), (-2, -3, 5)]
+    e = Engine(catalog(spark).register("t", spark.createDataFrame(rows, "b long, e long, x long")))
+    got = e.rows("SELECT t ORDER BY x { p: string(b ** e), i: int(x / 100000000) }").to_list()
+    want = {x: (str(Fraction(b) ** e) if e < 10**6 else str(b**(e % 2)), int(Fraction(x, 10**8))) for b, e, x in rows}
+    assert [(r["p"], r["i"]) for r in got] == [want[x] for x in sorted(want)]
+    for text in ("b ** e", "(b + 0) ** (0 - 1)"):
+        bad = Engine(catalog(spark).register("t", spark.createDataFrame([(0, -1)] if "0 - 1" in text else [(7, 50)], "b long, e long")))
+        with pytest.raises(Exception, match="division by zero|overflow|OVERFLOW|out of range|OUT_OF_RANGE"):
+            bad.rows(f"SELECT t {{ x: {text} }}").to_list()
+
+
+@pytest.mark.parametrize("low", BOUNDS)
+def test_other_aggregates_over_clamped_frames(run, low):
+    values = [2, 4, 4, 4, 5, 5, 7, 9]
+    n = len(values)
+
+    def place(bound, i):
+        k, _, side = bound.partition(" ")
+        at = {"UNBOUNDED": 0 if side == "PRECEDING" else n - 1, "CURRENT": i}.get(k)
+        return max(0, min(n - 1, i + int(k) * (1 if side == "FOLLOWING" else -1) if at is None else at))
+
+    frames = [(low, high) for high in BOUNDS[1:4]]
+    calls = {"c": "count(v)", "a": "avg(v)", "v": "var_pop(v)", "d": "count(distinct v)", "p": "percentile(v, 0.5)", "m": "max(v)"}
+    items = ", ".join(f"{k}{j}: {c} OVER ORDER BY id ROWS BETWEEN {a} AND {z}" for j, (a, z) in enumerate(frames) for k, c in calls.items())
+    for i, r in enumerate(run(f"SELECT measurements ORDER BY id {{ {items} }}")):
+        for j, (a, z) in enumerate(frames):
+            here = sorted(values[place(a, i) : place(z, i) + 1])
+            mean = sum(here) / len(here) if here else None
+            assert (r[f"c{j}"], r[f"d{j}"]) == (len(here), len(set(here)))
+            assert r[f"a{j}"] == (pytest.approx(mean) if here else None) and r[f"m{j}"] == (max(here) if here else None)
+            assert r[f"v{j}"] == (pytest.approx(sum((x - mean) ** 2 for x in here) / len(here)) if here else None)
+            assert r[f"p{j}"] == (here[(len(here) - 1) // 2] if here else None), (a, z, i)

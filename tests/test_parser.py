@@ -115,3 +115,13 @@ def test_extensions():
     assert q.wheres[0].tag == "search"
     with pytest.raises(QueryError, match="extension_collision"):
         x.add("infixes", "search", search)
+
+
+def test_extensions_of_headers_and_bodies():
+    x = Extensions()
+    x.add("modifiers", "NEAREST", lambda parser: ast.Variant("nearest", (parser.need("ident").value, parser.need("ident").value)))
+    x.add("items", "SAMPLE", lambda parser: ast.Variant("sample", (parser.need("ident").value, parser.need("int").value)))
+    q = Parser("SELECT t NEAREST point WHERE a > 1 { a, SAMPLE 5 }", x).document()[0]
+    assert q.variant.tag == "nearest" and any(isinstance(i, ast.Variant) and i.tag == "sample" for i in q.select)
+    with pytest.raises(ParseError):
+        Parser("SELECT t NEAREST point { a }").document()
