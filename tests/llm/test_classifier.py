@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,3 +91,78 @@ def test_held_out_accuracy_on_tables(spark):
     d = "/root/testdata/sf0.01"
     got = q.op7_subword_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in got]) > 0.95
+
+
+@pytest.mark.parametrize("block", [q.BLOCK, 7])
+def test_ngrams_in_bulk_are_those_one_by_one(block, monkeypatch):
+    monkeypatch.setattr(q, "BLOCK", block)
+    words = [b"a", "été".encode(), b"word", b"x" * q.LONG, "長い文字列が空白なしに続くこと".encode() * 9, b"zebra" * 300]
+    got = [[] for _ in words]
+    for word, bucket in q.grams(words):
+        for w, b in zip(word.tolist(), bucket.tolist()):
+            got[w].append(b)
+    for w, mine in zip(words, got):
+        marked = b"<" + w + b">"
+        assert sorted(mine) == sorted(zlib.crc32(marked[i : i + n], n) % q.BUCKETS for n in q.NGRAMS for i in range(len(marked) - n + 1))
+        if len(w) <= q.LONG:
+            assert sorted(q.word_features(w)[1:]) == sorted(mine)
+        assert q.features(w, {}).size == 1 + len(mine)
+
+
+def test_words_without_blanks_are_scored_by_their_ngrams(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("良好文章清晰" if i % 2 else "賭博中奬免費", k=200)) for i in range(120)]
+    docs = cases.frame(spark, [(i, t, "zh", "s", 0) for i, t in enumerate(texts)])
+    marks = label_frame(spark, [(i, i % 2, 0) for i in range(120)])
+    held = q.scored(docs, q.fit(docs, marks)).where("held_out").collect()
+    assert len(held) > 10 and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in held)
+
+
+def brute_train(texts, labels, dim, epochs, rate):
+    """Stochastic gradient descent by the definition, one number at a time."""
+    share = sum(labels) / len(labels)
+    rng = np.random.default_rng(q.SEED)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (q.BUCKETS, dim)).astype(np.float32).astype(float)
+    out, bias, steps = [[0.0] * dim, [0.0] * dim], [math.log(1 - share), math.log(share)], 0
+    bags = [Counter(q.features(t, {}).tolist()) for t in texts]
+    for _ in range(epochs):
+        for i in rng.permutation(len(texts)):
+            bag, n = bags[i], sum(bags[i].values())
+            lr = rate * (1 - steps / (epochs * len(texts)))
+            steps += 1
+            hidden = [sum(c / n * vectors[f][k] for f, c in bag.items()) for k in range(dim)]
+            z = [sum(out[c][k] * hidden[k] for k in range(dim)) + bias[c] for c in (0, 1)]
+            e = [math.exp(x) for x in z]
+            grad = [e[c] / sum(e) - (labels[i] == c) for c in (0, 1)]
+            down = [sum(out[c][k] * grad[c] for c in (0, 1)) for k in range(dim)]
+            for c in (0, 1):
+                out[c] = [out[c][k] - lr * grad[c] * hidden[k] for k in range(dim)]
+                bias[c] -= lr * 0.1 * grad[c]
+            for f, c in bag.items():
+                vectors[f] -= 4 * lr * min(c / n * len(bag), 20) * np.array(down)
+    return vectors, out, bias
+
+
+def test_training_against_brute_force():
+    rng = random.Random(4)
+    texts = [cases.prose(rng, 12).encode() if i % 2 else " ".join(rng.choices(["buy", "win", "free"], k=9)).encode() for i in range(14)]
+    labels = [i % 2 for i in range(14)]
+    weights, bias = q.train(texts, labels, dim=4, epochs=3, rate=0.3)
+    vectors, out, want = brute_train(texts, labels, 4, 3, 0.3)
+    assert bias == pytest.approx(want[1] - want[0], abs=1e-4)
+    for f in {x for t in texts for x in q.features(t, {}).tolist()}:
+        assert weights[f] == pytest.approx(float(vectors[f] @ (np.array(out[1]) - np.array(out[0]))), abs=1e-4)
+
+
+def test_sample_is_bounded_after_the_join(spark, monkeypatch):
+    rows = [(1, f"text number {i} " * 20, "en", "s", 0) for i in range(300)] + [(2, "other words " * 10, "en", "s", 0)] * 3
+    seen = []
+    monkeypatch.setattr(q, "train", lambda texts, y: seen.append(texts) or (np.zeros(q.BUCKETS, np.float32), 0.0))
+    docs, marks = cases.frame(spark, rows), label_frame(spark, [(1, 1, 0), (2, 0, 0), (3, 0, 0)])
+    q.fit(docs, marks, sample=50)
+    assert len(seen[-1]) == 50
+    monkeypatch.setattr(q, "SAMPLE_BYTES", 2000)
+    q.fit(docs, marks)
+    assert 0 < sum(map(len, seen[-1])) <= 2000
+    q.fit(docs, label_frame(spark, [(2, 0, 0)]))
+    assert seen[-1] == [b"other words " * 10] * 3  # repeated rows count each
