@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, exists, hadoop_path, materialized, shared_dir, shared_path
 
-__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "Numbers", "per_worker", "shared_dir", "shared_path", "spread_join", "table", "text_of", "to_python", "word_count"]
+__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "Numbers", "identity", "per_worker", "shared_dir", "shared_path", "spread_join", "table", "text_of", "to_python", "word_count"]
 
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and return.
 #: ``bytes.split()`` splits on exactly these six, which the Python parts rely on.
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def identity(text: Column) -> Column:
+    """128 bits that tell texts apart, null as empty: at 10^11 texts the chance that any two meet is below 10^-16."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def word_count(text: Column) -> Column:
     """Number of words (long); null text has none.
 

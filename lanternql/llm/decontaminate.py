@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbers, per_worker, table, text_of, to_python
+from .common import Numbers, identity, per_worker, table, text_of, to_python
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -362,25 +362,26 @@ def _meeting(h: np.ndarray, hashes: np.ndarray, seen: np.ndarray) -> tuple[np.nd
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item it holds: doc_id, item_id, windows (of the item), coverage,
-    literal_coverage, slot_consistency, first_token and last_token (the stretch, counted in tokens)."""
+    literal_coverage, slot_consistency, first_token and last_token (the stretch, counted in tokens).  Ids are whole numbers, or bytes."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     block = F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks))
-    rows = to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    kind = "binary" if dict(docs.dtypes)["doc_id"] == "binary" else "long"
+    rows = to_python(docs).select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     out = None
     for k in range(blocks):
         part = [(r.item_id, bytes(r.text)) for r in items.where(block == k).orderBy("item_id", "text").collect()]
-        found = rows.mapInArrow(_finder(docs.sparkSession, part), PAIR)
+        found = rows.mapInArrow(_finder(docs.sparkSession, part, kind), PAIR.replace("long", kind, 1))
         out = found if out is None else out.union(found)
     return out
 
 
-def _finder(spark: SparkSession, items: list[tuple[int | None, bytes]]):
+def _finder(spark: SparkSession, items: list[tuple[int | None, bytes]], kind: str = "long"):
     """The search for one block of items, which goes to each executor once and is indexed once a worker."""
     sent = spark.sparkContext.broadcast(items)
     name = zlib.crc32(repr(items).encode())
-    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in PAIR.split(", ")])
+    schema = pa.schema([(c.split()[0], {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]]) for c in PAIR.replace("long", kind, 1).split(", ")])
 
     def run(batches):
         def ready():
@@ -398,8 +399,8 @@ def _finder(spark: SparkSession, items: list[tuple[int | None, bytes]]):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged.  A document without an id is judged by its text:
-    ids are replaced by a text hash for the search, so null and repeated ids do no harm."""
-    key = F.xxhash64(F.col("text"), F.lit(1))
+    ids are replaced by a text hash of 128 bits for the search, so null and repeated ids do no harm."""
+    key = identity(F.col("text"))
     leaks = find_leaks(docs.select(key.alias("doc_id"), F.col("text")), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.withColumn("_key", key).join(leaks, F.col("_key") == F.col("_leak"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

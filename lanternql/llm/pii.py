@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialized, table
+from .common import identity, materialized, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, written so that Java's matcher neither recurses nor rescans: quantifiers that never need
@@ -102,7 +102,7 @@ def entities(docs: DataFrame) -> DataFrame:
     entity found."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), *[_spans(k, F.col("text")).alias(k) for k in KINDS])
+    rows = rows.select("doc_id", "text", identity(F.col("text")).alias("key"), *[_spans(k, F.col("text")).alias(k) for k in KINDS])
     def naming(kind: str) -> Column:
         name = lambda s: F.concat(F.lit(kind + ":"), s["match"])
         return F.transform(kind, lambda s: F.struct(name(s).alias("entity"), F.lower(_context(F.col("text"), s)).alias("context")))
@@ -147,7 +147,7 @@ def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE
     named = found.select("key", F.explode("named.entity").alias("entity")).distinct()
     terms = named.join(bad, F.col("entity") == F.col("e")).groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     terms, _ = materialized(terms, "terms")
-    texts = docs.select(F.col("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).join(terms.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
+    texts = docs.select(F.col("text"), identity(F.col("text")).alias("key")).join(terms.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
     # Terms are letters and digits only, so they need no quoting.
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     spans = texts.select("key", "text", pattern.alias("pattern")).dropDuplicates(["key"])
@@ -187,7 +187,7 @@ def sanitize(docs: DataFrame) -> DataFrame:
 
     marks = [marking(k) for k in (*KINDS, "term")]
     marks = found.select(F.col("key").alias("_k"), F.array_sort(F.concat(*marks)).alias("_marks")).where(F.size("_marks") > 0)
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(marks, F.col("_key") == F.col("_k"), "left")
+    rows = docs.withColumn("_key", identity(F.col("text"))).join(marks, F.col("_key") == F.col("_k"), "left")
     clean = F.expr("""
         aggregate(_marks, struct(0L AS at, '' AS out),
           (acc, m) -> if(m.start < acc.at, acc, struct(-m.end AS at, concat(acc.out, substring(text, cast(acc.at + 1 AS int), cast(m.start - acc.at AS int)), m.put) AS out)),

@@ -147,6 +147,13 @@ def templates(stats: DataFrame) -> DataFrame:
     return tree
 
 
+def rule_labels(pages: DataFrame, rules=RULES) -> DataFrame:
+    """(page_id, bad): labels of the pages that the rules decide, for ``judge`` to carry over to other templates."""
+    host, path = host_and_path(F.col("url"))
+    verdict = rule_for(host, path, rules)[1]
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), (verdict == "block").alias("bad")).where("page_id is not null and bad is not null")
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity.  ``labels``: (page_id, bad boolean)."""
     host, path = host_and_path(F.col("url"))
@@ -174,7 +181,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages carry the text of the document with their id, so the documents' labels are theirs: low quality or
-    toxic is bad."""
+    """Labels are those of the document with the page's id: low quality or toxic is bad.  In the given tables pages
+    and documents of one id have nothing else in common, so these labels tell no template apart; callers with labels of
+    their pages, or with rules alone (``rule_labels``), use ``judge``."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")

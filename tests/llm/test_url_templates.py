@@ -167,3 +167,13 @@ def test_deep_branches_are_told_apart(spark):
     rows = [(i, u, "", "x") for i, u in enumerate(urls)]
     got = judged(spark, rows, [(i, "/spam/" in u) for i, u, _, _ in rows]).collect()
     assert len(got) == len(rows) and all((r.verdict == "block") == ("/spam/" in r.path) for r in got)
+
+
+def test_the_method_blocks_what_no_rule_covers(spark):
+    rules = [("block", "h.net", "/spam/1"), ("allow", "h.net", "/fine/1")]
+    rows = [(2 * i + (kind == "fine"), f"http://h.net/{kind}/{i}", "", "x") for i in range(10, 400) for kind in ("spam", "fine")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").selectExpr("*", "'mine' AS template", "'mine' AS path", "'mine' AS shape", "1 AS n", "'mine' AS segs")
+    got = q.judge(pages, q.rule_labels(pages, rules), rules).collect()
+    open_ = [r for r in got if r.rule is None]
+    assert len(got) == len(rows) and len(open_) > 400
+    assert all((r.verdict == "block") == r.path.startswith("/spam/") for r in open_)
