@@ -20,10 +20,12 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, exists, hadoop_path, materialized, shared_path, table, to_python
+from .common import discard, exists, hadoop_path, materialized, per_worker, shared_path, table, to_python
+from .token_file import Encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
 DDL = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -52,23 +54,38 @@ def bare(text: bytes) -> bytes:
     return text.translate(_BARE)
 
 
+class Tokens:
+    """Counts the tokens of a tokenizer file, many texts at a time."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def many(self, texts: list[bytes]) -> list[int]:
+        kept = per_worker(("rollup",), dict)  # the encoders of all versions that count in this worker
+        if self.path not in kept:
+            kept[self.path] = Encoder(self.path)
+        return [ids.size for ids in kept[self.path].arrays(pa.array(texts, pa.binary()))]
+
+    def __call__(self, text: bytes) -> int:
+        return self.many([text])[0]
+
+
 #: Tokenizer versions: from a UTF-8 text to its number of tokens.
 VERSIONS = {"words-1": words, "runs-1": runs}
 
 
 def counted(docs: DataFrame, versions: dict[str, Callable[[bytes], int]] = VERSIONS, change: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """doc_id, source, lang, tokenizer_version, n_tokens and changed_tokens (of ``change(text)``): a row for
-    each document and version.  Texts are read once."""
+    each document and version.  Texts are read once.  A version is a function of one text, or has ``many`` for a
+    list of them."""
     counters = list(versions.values())
 
     @F.pandas_udf("array<long>")
     def count(texts: pd.Series) -> pd.Series:
-        def one(t):
-            t = t or b""
-            other = change(t) if change else t
-            return [f(t) for f in counters] + [f(other) for f in counters]
-
-        return pd.Series([one(t) for t in texts], dtype=object)
+        mine = [t or b"" for t in texts]
+        other = [change(t) for t in mine] if change else mine
+        columns = [f.many(ts) if hasattr(f, "many") else [f(t) for t in ts] for ts in (mine, other) for f in counters]
+        return pd.Series([list(row) for row in zip(*columns)], dtype=object)
 
     rows = to_python(docs).select("doc_id", "source", "lang", count(F.col("text").cast("binary")).alias("n"))
     n = len(counters)

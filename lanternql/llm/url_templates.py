@@ -181,8 +181,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels are those of the document with the page's id: low quality or toxic is bad.  In the given tables pages
-    and documents of one id have nothing else in common, so these labels tell no template apart; callers with labels of
+    """Labels are those of the document with the page's id: low quality or toxic is bad.  In the given tables hardly
+    a page holds anything of that document, so these labels hardly tell templates apart; callers with labels of
     their pages, or with rules alone (``rule_labels``), use ``judge``."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return judge(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")

@@ -97,3 +97,15 @@ def test_other_deltas_under_a_known_batch_are_an_error(spark):
     with pytest.raises(ValueError):
         store.commit("one", q.inserts(q.counted(cases.frame(spark, rows[1:]))))
     assert totals(store) == brute(rows)
+
+
+def test_versions_of_tokenizer_files(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    paths = {v: public_tokenizers.path(f) for v, f in [("bytes-50k", "byte_bpe_50k.json"), ("words-49k", "word_bpe_49k.json")]}
+    rows = [r for r in cases.documents(20) if r[0] is not None]
+    got = q.counted(cases.frame(spark, rows), {v: q.Tokens(p) for v, p in paths.items()}).collect()
+    want = [(r[0], v, len(Tokenizer.from_file(p).encode(r[1] or "", add_special_tokens=False).ids)) for v, p in paths.items() for r in rows]
+    assert sorted((r.doc_id, r.tokenizer_version, r.n_tokens) for r in got) == sorted(want)
+    assert q.Tokens(paths["bytes-50k"])(b"a word") == 2
