@@ -117,7 +117,7 @@ class Encoder:
         parts = json.loads(self.tokenizer.to_str())
         before, model = parts["pre_tokenizer"] or {}, parts["model"]
         self.by_chunks = (
-            parts["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
+            not any(parts[k] for k in ("normalizer", "truncation", "padding")) and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
             and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
         )
         #: What marks a text that isn't plain: another character, or a token that is never split.
