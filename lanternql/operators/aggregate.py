@@ -169,16 +169,17 @@ def ranked(values: Column, p: Value) -> Column:
     return F.get(F.sort_array(values), F.greatest(F.lit(1), F.least(rank.cast("int"), n)) - 1)
 
 
-def matched(df: DataFrame, by: list[Column], table) -> DataFrame:
-    """``df`` with the columns of ``table(df, key names)``, which has one row for each value of the keys ``by``."""
+def matched(df: DataFrame, by: list[Column], table, source: DataFrame | None = None) -> DataFrame:
+    """``df`` with the columns of ``table(source with the keys, key names)``, which has one row for each value of the keys
+    ``by``; ``source`` is ``df`` as it was before other tables were joined to it."""
     names = [f"__by{i}" for i in range(len(by))]
-    rows = df.withColumns(dict(zip(names, by))) if by else df
-    found = table(rows, names)
+    keyed = lambda x: x.withColumns(dict(zip(names, by))) if by else x
+    found = table(keyed(df if source is None else source), names)
     if not by:
-        return rows.crossJoin(F.broadcast(found))  # one row
+        return df.crossJoin(F.broadcast(found))  # one row
     found = found.withColumnsRenamed({n: f"{n}_of" for n in names})
     same = [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in names]
-    return rows.join(found, same, "left").drop(*names, *[f"{n}_of" for n in names])
+    return keyed(df).join(found, same, "left").drop(*names, *[f"{n}_of" for n in names])
 
 
 def rank_table(rows: DataFrame, names: list[str], value: str, picks: list[tuple[Fraction, str]]) -> DataFrame:
@@ -187,14 +188,20 @@ def rank_table(rows: DataFrame, names: list[str], value: str, picks: list[tuple[
     counts = rows.where(F.col(value).isNotNull()).groupBy(*names, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
     upto = F.sum("__n").over(whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.select(*names, "__v", upto.cast(V.WIDE).alias("__upto"), F.sum("__n").over(whole).cast(V.WIDE).alias("__all"))
+    placed = counts.select(*names, "__v", upto.alias("__upto"))
 
-    def pick(p: Fraction) -> Column:  # the first value of which ``upto`` reaches p * all, and at least 1
-        upto, n = F.col("__upto"), F.col("__all")
-        reached = (upto * F.lit(p.denominator).cast(V.WIDE)).cast(V.WIDE) >= (n * F.lit(p.numerator).cast(V.WIDE)).cast(V.WIDE)
-        return F.min(F.when(reached, F.col("__v")))
+    def rank(p: Fraction) -> Column:  # p * all, rounded up, and at least 1
+        over, d = (F.sum("__n").cast(V.WIDE) * F.lit(p.numerator).cast(V.WIDE)).cast(V.WIDE), F.lit(p.denominator).cast(V.WIDE)
+        up = (over + d - F.lit(1).cast(V.WIDE)).cast(V.WIDE)
+        return F.greatest(F.lit(1).cast("long"), ((up - up % d) / d).cast("long"))
 
-    return placed.groupBy(*names).agg(*[pick(p).alias(r) for p, r in picks])
+    ranks = counts.groupBy(*names).agg(*[rank(p).alias(f"{r}_at") for p, r in picks])
+    if names:
+        of = ranks.withColumnsRenamed({n: f"{n}_rank" for n in names})
+        placed = placed.join(of, [F.col(n).eqNullSafe(F.col(f"{n}_rank")) for n in names])
+    else:
+        placed = placed.crossJoin(F.broadcast(ranks))
+    return placed.groupBy(*names).agg(*[F.min(F.when(F.col("__upto") >= F.col(f"{r}_at"), F.col("__v"))).alias(r) for _, r in picks])
 
 
 def grouped(df: DataFrame, keys: list[str], group_cols: list[tuple[str, Column]], grouping: str, aggs: list[Column], scope: GroupScope) -> DataFrame:
@@ -203,9 +210,10 @@ def grouped(df: DataFrame, keys: list[str], group_cols: list[tuple[str, Column]]
         df = df.withColumn(name, col)
     if grouping != "plain" and keys:
         raise QueryError("unsupported", f"{grouping} inside a correlated nested select")
+    source = df
     for value in dict.fromkeys(v for v, _, _ in scope.ranks):
         picks = [(p, r) for v, p, r in scope.ranks if v == value]
-        df = matched(df, [F.col(f"`{k}`") for k in keys] + [c for _, c in group_cols], lambda rows, names: rank_table(rows, names, value, picks))  # noqa: B023
+        df = matched(df, [F.col(f"`{k}`") for k in keys] + [c for _, c in group_cols], lambda rows, names: rank_table(rows, names, value, picks), source)  # noqa: B023
     by = [F.col(f"`{k}`") for k in keys] + [c.alias(n) for n, c in group_cols]
     if grouping == "plain":
         return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)

@@ -107,8 +107,9 @@ class WindowScope(Scope):
     def ready(self, df: DataFrame) -> DataFrame:
         """``df`` with the columns that values of this scope look up."""
         df = df.withColumns(self.prepared) if self.prepared else df
+        source = df
         for parts, table in self.tables:
-            df = matched(df, parts, table)
+            df = matched(df, parts, table, source)
         return df
 
     def bounds(self, frame) -> tuple[int, int]:
