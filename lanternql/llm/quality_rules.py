@@ -19,15 +19,17 @@ columns pass through ``keep_good`` unchanged.  An empty table gives an empty tab
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, to_python
+from .common import Numbers, per_worker, table, text_of, to_python
 
 LANGUAGES = ("de", "en", "es", "fr")
 SYMBOLS = "#*$%&|<>"
@@ -55,6 +57,10 @@ SHARES = 1000
 #: Histograms add up as whole millionths, so references don't depend on the order of the sum.
 UNIT = 1_000_000
 
+#: Words of which a worker keeps what they hold, and their bytes: the memory bound of a cache, not of the result.
+CACHE_WORDS = 1_000_000
+CACHE_BYTES = 24 << 20
+
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -79,41 +85,102 @@ def _classes() -> np.ndarray:
     return out
 
 
-def features(raw: bytes, classes: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), class counts, common-word counts
-    (the last: all other words) of a UTF-8 text."""
-    words = raw.split()
-    points = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4")
-    by_class = np.bincount(classes[np.minimum(points, 0xFFFF)], minlength=len(CLASSES))
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    windows = list(zip(words, words[1:], words[2:]))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        found = Counter(windows)
-        last = -1  # the last word counted
-        for i, w in enumerate(windows):
-            if found[w] > 1:
-                repeated += i + 2 - max(last, i - 1)
-                last = i + 2
-    named = Counter(raw.lower().translate(_BLANK).split())
-    common = [named.get(w, 0) for w in _COMMON_BYTES]
-    by_word = np.array([*common, sum(named.values()) - sum(common)])
-    counts = [len(words), int(by_class.sum() - by_class[_SPACE]), int(by_class[_SYMBOL]), len(lines) - len(set(lines)), repeated]
-    return counts, by_class, by_word
-
-
-_BLANK = bytes(32 if chr(c) in SYMBOLS + ".,;:!?\"'()[]{}/\\-+=_~^`@" else c for c in range(256))
-_COMMON_BYTES = tuple(w.encode() for w in WORDS)
-
-
-def distances(histogram: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distances (base 2) of one histogram to the rows of references."""
-    p = histogram / max(1, histogram.sum())
-    m = (p + references) / 2
+_MARKS = SYMBOLS + ".,;:!?\"'()[]{}/\\-+=_~^`@"
+_BLANK = bytes(32 if chr(c) in _MARKS else c for c in range(256))
+_PLACE = {w.encode(): i for i, w in enumerate(WORDS)}
+
+
+def _windows_of_three(words: np.ndarray) -> np.ndarray:
+    """A number for each three neighbouring words, the same for the same words."""
+    a, b, c = (words[j : words.size - 2 + j].astype(np.int64) for j in range(3))
+    n = int(words.max()) + 1
+    if n < 1 << 21:
+        return (a * n + b) * n + c
+    return np.unique(a * n + b, return_inverse=True)[1] * n + c
+
+
+class Reader:
+    """Counts and histograms of texts, batch by batch.  Of each word met it keeps how many words it is once marks
+    are blanks, and which common words are among these."""
+
+    def __init__(self):
+        self.numbers = Numbers(CACHE_WORDS, CACHE_BYTES)
+        self.classes = _classes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.sizes, self.common, self.several = np.zeros(0, np.int32), np.zeros(0, np.int16), np.zeros(0, bool)
+        self.rest: dict[int, list[int]] = {}
+
+    def learn(self, words: pa.Array) -> None:
+        start, none = self.sizes.size, len(WORDS)
+        bare = pc.ascii_trim(pc.ascii_lower(words), characters=_MARKS)
+        sizes = pc.greater(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        common = pc.index_in(bare, value_set=pa.array(WORDS)).fill_null(none).to_numpy(zero_copy_only=False).astype(np.int16)
+        several = np.zeros(len(words), bool)
+        apart = np.flatnonzero(pc.match_substring_regex(bare, "[" + re.escape(_MARKS) + "]").to_numpy(zero_copy_only=False))
+        for i, w in zip(apart.tolist(), bare.take(pa.array(apart)).to_pylist()):  # words with marks inside
+            parts = w.encode().translate(_BLANK).split()
+            found = [_PLACE[x] for x in parts if x in _PLACE]
+            sizes[i], common[i], several[i] = len(parts), found[0] if found else none, len(found) > 1
+            if len(found) > 1:
+                self.rest[start + i] = found[1:]
+        self.sizes, self.common, self.several = (np.concatenate(x) for x in ((self.sizes, sizes), (self.common, common), (self.several, several)))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row for each text: (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), class counts, and
+        common-word counts (the last: all other words)."""
+        texts = text_of(texts)
+        n, bins = len(texts), len(WORDS) + 1
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
+        flat = lists.flatten()
+        some = pc.greater(pc.binary_length(flat), 0)  # a text without words is split into one empty string
+        doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))[some.to_numpy(zero_copy_only=False)]
+        at, new, anew = self.numbers(flat.filter(some))
+        if anew:
+            self.forget()
+        if len(new):
+            self.learn(new)
+        counts, by_class = np.zeros((n, 5), np.int64), np.zeros((n, len(CLASSES)), np.int64)
+        counts[:, 0] = np.bincount(doc, minlength=n)
+        if at.size > 2:
+            window = _windows_of_three(at)
+            window[doc[2:] != doc[:-2]] = -1
+            order = np.argsort(window, kind="stable")  # equal windows stand in order of their texts
+            w, d = window[order], doc[:-2][order]
+            same = (w[1:] == w[:-1]) & (d[1:] == d[:-1]) & (w[1:] >= 0)
+            often = np.zeros(at.size, bool)
+            often[order[1:][same]] = often[order[:-1][same]] = True
+            often[1:] |= often[:-1].copy()
+            inside = often.copy()
+            inside[1:] |= often[:-1]
+            counts[:, 4] = np.bincount(doc[inside], minlength=n)
+        for i, text in enumerate(texts.to_pylist()):
+            points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            by_class[i] = np.bincount(self.classes[np.minimum(points, 0xFFFF)], minlength=len(CLASSES))
+            lines = [x for x in text.split("\n") if x.strip(SPACES)]
+            counts[i, 3] = len(lines) - len(set(lines))
+        counts[:, 1] = by_class.sum(axis=1) - by_class[:, _SPACE]
+        counts[:, 2] = by_class[:, _SYMBOL]
+        by_word = np.bincount(doc * bins + self.common[at], minlength=n * bins).reshape(n, bins)
+        for i in np.flatnonzero(self.several[at]).tolist():
+            for k in self.rest[int(at[i])]:
+                by_word[doc[i], k] += 1
+        by_word[:, -1] = np.bincount(doc, self.sizes[at], n).astype(np.int64) - by_word[:, :-1].sum(axis=1)
+        return counts, by_class, by_word
+
+
+def distances(histograms: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances (base 2) of one histogram, or of each row of several, to the rows of references."""
+    p = histograms / np.maximum(1, histograms.sum(axis=-1, keepdims=True))
+    out = []
     with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
-        right = np.where(references > 0, references * np.log2(references / m), 0).sum(axis=1)
-    return np.sqrt(np.clip((left + right) / 2, 0, 1))
+        for q in references:
+            m = (p + q) / 2
+            left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=-1)
+            right = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=-1)
+            out.append(np.sqrt(np.clip((left + right) / 2, 0, 1)))
+    return np.stack(out, axis=-1)
 
 
 def references(docs: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -125,18 +192,23 @@ def references(docs: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, np.nda
     schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("bin", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
-        classes = _classes()
-        sums: Counter = Counter()
+        reader = per_worker(("quality",), Reader)
+        grids: dict[str, np.ndarray] = defaultdict(lambda: np.zeros((len(CLASSES), SHARES + 1), np.int64))
+        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(WORDS) + 2, np.int64))
         for b in batches:
-            for lang, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts, by_class, by_word = features(raw or b"", classes)
-                if counts[0] >= MIN_WORDS and by_class.sum() >= MIN_CHARS:
-                    for i, n in enumerate((by_class * SHARES // by_class.sum()).tolist()):
-                        sums[lang, "class", i * (SHARES + 1) + n] += 1
-                if counts[0] >= MIN_WORDS and by_word.sum() >= MIN_COMMON:
-                    for i, n in enumerate([*(by_word.astype(np.int64) * UNIT // by_word.sum()).tolist(), 1]):
-                        sums[lang, "word", i] += n
-        columns = zip(*((*k, n) for k, n in sorted(sums.items()))) if sums else [[]] * 4
+            counts, by_class, by_word = reader(b.column(1))
+            chars, total = by_class.sum(axis=1), by_word.sum(axis=1)
+            langs = np.array(b.column(0).to_pylist(), object)
+            for lang in set(langs.tolist()):
+                mine = (langs == lang) & (counts[:, 0] >= MIN_WORDS)
+                long = mine & (chars >= MIN_CHARS)
+                for share in by_class[long] * SHARES // chars[long, None]:
+                    grids[lang][np.arange(len(CLASSES)), share] += 1
+                long = mine & (total >= MIN_COMMON)
+                words[lang][:-1] += (by_word[long] * UNIT // total[long, None]).sum(axis=0)
+                words[lang][-1] += long.sum()
+        rows = [(lang, kind, i, int(x[i])) for kind, found in (("class", grids), ("word", words)) for lang, y in found.items() for x in [y.reshape(-1)] for i in np.flatnonzero(x).tolist()]
+        columns = zip(*rows) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
     partial = to_python(docs).select(lang.alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, kind string, bin int, n long")
@@ -168,27 +240,26 @@ def _judged(docs: DataFrame, refs) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *((c.split()[0], pa.int64()) for c in COUNTS.split(", ")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64())])
 
     def run(batches):
-        classes = _classes()
+        reader = per_worker(("quality",), Reader)
         for b in batches:
-            rows = []
-            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows.append([name, *verdict(raw or b"", classes, class_refs, word_refs)])
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+            counts, failed, kept, far, words_far = verdicts(reader, b.column(1), class_refs, word_refs)
+            columns = [b.column(0), *counts.T, failed, kept, far, words_far]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type, from_pandas=True) if isinstance(x, np.ndarray) else x for x, f in zip(columns, schema)], schema=schema)
 
     ddl = f"doc_id long, {COUNTS}, base_failed boolean, kept boolean, char_distance double, word_distance double"
     return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ddl)
 
 
-def verdict(raw: bytes, classes: np.ndarray, class_refs: np.ndarray, word_refs: np.ndarray) -> list:
-    counts, by_class, by_word = features(raw, classes)
-    failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEAT_PERCENT * counts[0]
-    far = words_far = None
-    if len(class_refs) and by_class.sum() >= MIN_CHARS:
-        far = float(distances(by_class, class_refs).min())
-    if len(word_refs) and by_word.sum() >= MIN_COMMON:
-        words_far = float(distances(by_word, word_refs).min())
-    kept = not failed and (far is None or far <= MAX_CHAR_DISTANCE) and (words_far is None or words_far <= MAX_WORD_DISTANCE)
-    return [*counts, failed, kept, far, words_far]
+def verdicts(reader: Reader, texts: pa.Array, class_refs: np.ndarray, word_refs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts, whether the plain counts fail, whether the text is kept, and the distances (NaN where not judged)."""
+    counts, by_class, by_word = reader(texts)
+    failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
+    far, words_far = (np.full(len(texts), np.nan) for _ in range(2))
+    for out, histogram, refs, least in ((far, by_class, class_refs, MIN_CHARS), (words_far, by_word, word_refs, MIN_COMMON)):
+        long = histogram.sum(axis=1) >= least
+        if len(refs) and long.any():
+            out[long] = distances(histogram[long], refs).min(axis=1)
+    return counts, failed, ~failed & ~(far > MAX_CHAR_DISTANCE) & ~(words_far > MAX_WORD_DISTANCE), far, words_far
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -200,8 +271,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def passes(texts):
         import pandas as pd
 
-        classes = _classes()
-        return pd.Series([verdict(t or b"", classes, class_refs, word_refs)[6] for t in texts], dtype=bool)
+        reader = per_worker(("quality",), Reader)
+        return pd.Series(verdicts(reader, pa.array(texts, pa.binary()), class_refs, word_refs)[2])
 
     return to_python(docs).where(passes(F.col("text").cast("binary")))
 
