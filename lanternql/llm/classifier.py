@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbers, per_worker, table, text_of, to_python
+from .common import Numbers, per_worker, releasing, table, text_of, to_python
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scorer(b.column(2)))], schema=schema)
 
     rows = to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), "text")
-    rows = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    rows = rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, exists, hadoop_path, materialized, shared_dir, shared_path
 
-__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "Numbers", "identity", "per_worker", "shared_dir", "shared_path", "spread_join", "table", "text_of", "to_python", "word_count"]
+__all__ = ["WORD", "discard", "exists", "hadoop_path", "materialized", "Numbers", "identity", "per_worker", "releasing", "shared_dir", "shared_path", "spread_join", "table", "text_of", "to_python", "word_count"]
 
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and return.
 #: ``bytes.split()`` splits on exactly these six, which the Python parts rely on.
@@ -73,6 +73,25 @@ def to_python(df: DataFrame) -> DataFrame:
     return df
 
 
+def releasing(run: Callable) -> Callable:
+    """``run`` over a task's batches, after which freed memory goes back to the system: workers outlive their tasks, and
+    what one keeps without need the others on its machine lack."""
+
+    def whole(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole
+
+
 def per_worker(key: tuple, make: Callable[[], object]):
     """What a Python worker keeps from task to task, such as a loaded model.  Functions travel by value, so
     their own globals would be made anew for every task.  Only the last thing asked for is kept: workers

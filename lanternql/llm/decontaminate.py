@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbers, identity, per_worker, table, text_of, to_python
+from .common import Numbers, identity, per_worker, releasing, table, text_of, to_python
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -372,7 +372,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(blocks):
         part = [(r.item_id, bytes(r.text)) for r in items.where(block == k).orderBy("item_id", "text").collect()]
-        found = rows.mapInArrow(_finder(docs.sparkSession, part, kind), PAIR.replace("long", kind, 1))
+        found = rows.mapInArrow(releasing(_finder(docs.sparkSession, part, kind)), PAIR.replace("long", kind, 1))
         out = found if out is None else out.union(found)
     return out
 

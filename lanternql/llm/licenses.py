@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, to_python
+from .common import releasing, table, to_python
 
 THRESHOLD = 0.8
 #: Share of a template's bigrams from which another template is taken to hold it.
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, thr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, inner)], names=["doc_id", "found"])
 
     ddl = "doc_id long, found array<struct<license:string,dice:double,first_line:int,last_line:int>>"
-    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), ddl)
 
 
 def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,14 +22,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbers, per_worker, table, text_of, to_python
+from .common import Numbers, per_worker, releasing, table, text_of, to_python
 
 LANGUAGES = ("de", "en", "es", "fr")
 SYMBOLS = "#*$%&|<>"
@@ -211,7 +213,7 @@ def references(docs: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, np.nda
         columns = zip(*rows) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    partial = to_python(docs).select(lang.alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "lang string, kind string, bin int, n long")
+    partial = to_python(docs).select(lang.alias("lang"), F.col("text").cast("binary").alias("text")).mapInArrow(releasing(run), "lang string, kind string, bin int, n long")
     class_refs, word_refs = {}, {}
     found: dict[tuple[str, str], dict[int, int]] = {}
     for r in partial.groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).collect():
@@ -247,7 +249,7 @@ def _judged(docs: DataFrame, refs) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type, from_pandas=True) if isinstance(x, np.ndarray) else x for x, f in zip(columns, schema)], schema=schema)
 
     ddl = f"doc_id long, {COUNTS}, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, ddl)
+    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(releasing(run), ddl)
 
 
 def verdicts(reader: Reader, texts: pa.Array, class_refs: np.ndarray, word_refs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -267,12 +269,15 @@ def keep_good(docs: DataFrame) -> DataFrame:
     taken in place and no join is needed."""
     class_refs, word_refs = (np.array([r[k] for k in sorted(r)]) for r in references(docs))
 
-    @F.pandas_udf("boolean")
-    def passes(texts):
-        import pandas as pd
-
+    @releasing
+    def run(batches):
         reader = per_worker(("quality",), Reader)
-        return pd.Series(verdicts(reader, pa.array(texts, pa.binary()), class_refs, word_refs)[2])
+        for texts in batches:
+            yield pd.Series(verdicts(reader, pa.array(texts, pa.binary()), class_refs, word_refs)[2])
+
+    @F.pandas_udf("boolean")
+    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(batches)
 
     return to_python(docs).where(passes(F.col("text").cast("binary")))
 

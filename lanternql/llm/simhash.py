@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialized, spread_join, table, to_python
+from .common import materialized, releasing, spread_join, table, to_python
 from .graph import components
 
 BITS = 64
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(releasing(run), "doc_id long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:

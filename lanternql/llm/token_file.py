@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Numbers, per_worker, shared_path, table, text_of, to_python
+from .common import Numbers, per_worker, releasing, shared_path, table, text_of, to_python
 
 END = 0
 SEGMENT_IDS = 1 << 20
@@ -303,7 +303,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, segment_ids: int = SE
     rows = to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_h").asc_nulls_first()]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
-    rows.select("doc_id", "text").mapInArrow(run, SEGMENT_DDL).write.parquet(path)
+    rows.select("doc_id", "text").mapInArrow(releasing(run), SEGMENT_DDL).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -329,7 +329,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return rows.select(*columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select(*columns).mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(spark: SparkSession, path: str, folder: str) -> None:
