@@ -11,18 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from lanternql.llm import common, decontaminate, mixing, quality_rules, simhash, token_file
 
 
+#: Bytes of a batch to Python: executors keep the workers of earlier stages, so those at work get by with less than
+#: a query alone may take.
+BATCH_BYTES = 3 << 20
+
+
+def sparing(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    sparing(spark)
     return quality_rules.keep_good(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    sparing(spark)
     return simhash.keep_one(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    sparing(spark)
     return decontaminate.without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -33,6 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token file, as read back: doc_id, start, n_tokens, ids_crc32."""
+    sparing(spark)
     import public_tokenizers
 
     path = common.shared_path(spark, "token-file")
